@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe, packing, transport_stream
+from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
 TOKEN_LIMIT = 1024
@@ -17,13 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    crc = F.crc32("token_ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
+
+
+def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = transport_stream.decode(transport_stream.encode(table(spark, sf_dir, "documents")))
+    access = F.filter("units", lambda u: u["random_access"])
+    feature = F.concat_ws(
+        ";",
+        F.concat(F.lit("packets="), "packets"),
+        F.concat(F.lit("programs="), "programs"),
+        F.concat(F.lit("streams="), "streams"),
+        F.concat(F.lit("errors="), F.col("continuity_errors") + F.col("sync_errors") + F.col("table_errors") + F.col("packet_errors")),
+        F.concat(F.lit("pts="), F.array_join(F.transform("units", lambda u: u["pts"].cast("string")), ",")),
+        F.concat(F.lit("access="), F.array_join(F.transform(access, lambda u: F.concat(u["pts"].cast("string"), F.lit("@"), u["packet"].cast("string"))), ",")),
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"))
+    placed = histogram_shards(rows, ["text_key"], ["doc_id"], "size", shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hierarchical_packing": op1_hierarchical_packing,
+        "op2_transport_stream": op2_transport_stream,
+        "op5_histogram_sort": op5_histogram_sort,
+        "op10_byte_bpe": op10_byte_bpe,
         "op9_prefix_counts": op9_prefix_counts,
     }
 
