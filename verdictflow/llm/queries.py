@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, transport_stream
+from . import byte_bpe, chat_format, packing, transport_stream
 from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
@@ -49,6 +49,48 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HARD_TURN = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TURN).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(hard)
+    done = chat_format.format_conversations(turns).select("*", chat_format.formatted(F.col("segments")).alias("whole"), chat_format.loss_text(F.col("segments")).alias("learnt"))
+    read = done.select("*", chat_format.read_turns(F.col("whole")).alias("turns"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+        F.length("whole").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), seen AS (
+  SELECT *, row_number() OVER w AS place, lag(role) OVER w AS before,
+    replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS escaped,
+    CASE WHEN role IN ('system', 'user', 'assistant') THEN role
+      ELSE '?' || replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ':', '\:') END AS label
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(label) + length(escaped) + 14) AS BIGINT) AS formatted_chars,
+  bool_and(coalesce((role = 'user' AND (place = 1 OR before IN ('system', 'assistant'))) OR (role = 'system' AND place = 1)
+    OR (role = 'assistant' AND before = 'user'), FALSE)) AS valid
+FROM seen GROUP BY conv_id
+"""
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"))
@@ -70,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hierarchical_packing": op1_hierarchical_packing,
         "op2_transport_stream": op2_transport_stream,
+        "op3_chat_format": op3_chat_format,
         "op5_histogram_sort": op5_histogram_sort,
         "op10_byte_bpe": op10_byte_bpe,
         "op9_prefix_counts": op9_prefix_counts,
@@ -77,4 +120,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_chat_format": OP3_SQL,
+    }
