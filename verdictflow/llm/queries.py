@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, packing, transport_stream
+from . import byte_bpe, chat_format, packing, pii, transport_stream
 from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
@@ -98,6 +98,19 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(documents, pii.fit(documents))
+    base = F.filter("pii_spans", lambda s: s["base"])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
+        said(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -114,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_transport_stream": op2_transport_stream,
         "op3_chat_format": op3_chat_format,
         "op5_histogram_sort": op5_histogram_sort,
+        "op7_weak_supervision": op7_weak_supervision,
         "op10_byte_bpe": op10_byte_bpe,
         "op9_prefix_counts": op9_prefix_counts,
     }
