@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, packing, pii, transport_stream
+from . import byte_bpe, chat_format, packing, pii, toxicity, transport_stream
 from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
@@ -111,6 +111,17 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOXIC = 0.7
+
+
+def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    said = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), said.alias("offending"))
+
+
 def op9_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -128,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op5_histogram_sort": op5_histogram_sort,
         "op7_weak_supervision": op7_weak_supervision,
+        "op8_crf_toxicity": op8_crf_toxicity,
         "op10_byte_bpe": op10_byte_bpe,
         "op9_prefix_counts": op9_prefix_counts,
     }
