@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, packing, pii, toxicity, transport_stream
+from .chosen_path import jaccard_join
 from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
@@ -98,6 +99,11 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+    return joined.select("doc_id", "class_id", "rep_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.fit(documents))
@@ -138,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_transport_stream": op2_transport_stream,
         "op3_chat_format": op3_chat_format,
         "op5_histogram_sort": op5_histogram_sort,
+        "op6_chosen_path": op6_chosen_path,
         "op7_weak_supervision": op7_weak_supervision,
         "op8_crf_toxicity": op8_crf_toxicity,
         "op10_byte_bpe": op10_byte_bpe,
