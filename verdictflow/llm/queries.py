@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, packing, pii, toxicity, transport_stream
 from .chosen_path import jaccard_join
+from .cover_tree import near_pairs
 from .histogram_sort import histogram_shards
 from .prefix_counts import prefix_token_counts
 
@@ -92,6 +93,10 @@ FROM seen GROUP BY conv_id
 """
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "embeddings"), cosine=0.98).select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_key"))
@@ -143,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hierarchical_packing": op1_hierarchical_packing,
         "op2_transport_stream": op2_transport_stream,
         "op3_chat_format": op3_chat_format,
+        "op4_cover_tree": op4_cover_tree,
         "op5_histogram_sort": op5_histogram_sort,
         "op6_chosen_path": op6_chosen_path,
         "op7_weak_supervision": op7_weak_supervision,
