@@ -235,8 +235,8 @@ def coder(path: str, pattern: str = PATTERN) -> ByteBpe:
     return _CODERS[path, pattern]
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, token_ids): token_ids is binary, little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, token_ids): token_ids is binary, little-endian unsigned 32-bit integers. With `decoded`, the bytes decoded from them too.
 
     Null and empty texts have no tokens. Repeated rows and null ids stay; other columns are not read. Texts of any length are
     encoded whole. No shuffle; memory is that of one batch, the vocabulary and a bounded cache.
@@ -248,10 +248,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str =
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
                 ids = own.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "token_ids"])
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "token_ids", "decoded"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, token_ids binary")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, token_ids binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -264,16 +267,3 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
-
-
-def round_trip(df: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, token_ids, decoded) in one pass: encode(), with the decoded bytes of its ids beside them."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary, pattern)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([own.decode(x) for x in b.column(2).to_pylist()], pa.binary())], names=[*b.schema.names, "decoded"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    coded = encode(df, vocabulary, pattern, id_col, text_col)
-    return coded.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, token_ids binary, decoded binary")
