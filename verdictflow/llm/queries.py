@@ -113,10 +113,11 @@ def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(documents, pii.fit(documents))
     base = F.filter("pii_spans", lambda s: s["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
+        *[of_kind(k) for k in pii.BASE_KINDS],
         F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
         said(F.col("pii_spans")).alias("spans"),
     )
