@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,11 +24,11 @@ from .common import TwoGenerationCache
 
 BUCKETS = 1 << 16  # of hashed features
 #: Bounds of the labelled sample: this many toxic and clean documents at most, those of least hash.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 6000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3500
 FIT_CLEAN = 800  # clean documents of the sample that the field itself is fitted to; all of them count for signs and calibration
 SURE = 20.0  # likelihood ratio from which a word beginning counts as a sign of toxic documents
 COVERS = 12.0  # the same, for documents that no other sign explains
-SIDE_BY_SIDE = 256  # texts in one forward-backward pass
+SIDE_BY_SIDE, PLACES = 256, 300_000  # texts, and places of the padded matrix, in one forward-backward pass
 _LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _WORD = regex.compile(r"\S+")
 
@@ -86,7 +86,7 @@ def groups(sizes: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(order):
         end = min(len(order), at + SIDE_BY_SIDE)
-        while end - at > 1 and sizes[order[end - 1]] > 2 * sizes[order[at]] + 64:
+        while end - at > 1 and (sizes[order[end - 1]] > 2 * sizes[order[at]] + 64 or (end - at) * sizes[order[end - 1]] > PLACES):
             end = at + max(1, (end - at) // 2)
         out.append(order[at:end])
         at = end
@@ -163,53 +163,63 @@ def train(texts: list[str], toxic: list[int], epochs: int = 30, rate: float = 0.
     model = Crf()
     if not y.any() or y.all():
         return model
-    tokens = [t.split() for t in texts]
     types: dict[str, int] = {}
-    rows = [np.array([types.setdefault(w, len(types)) for w in d], np.int64) for d in tokens]
-    del tokens
+    rows = [np.array([types.setdefault(w, len(types)) for w in t.split()], np.int32) for t in texts]
     numbers: dict[str, int] = {}
-    names = [np.array([numbers.setdefault(n, len(numbers)) for n in beginnings(w)], np.int64) for w in types]
-    own = [np.unique(np.concatenate([names[k] for k in np.unique(r)])) if len(r) else r for r in rows]
+    flat, feature, first, of = array("i"), array("i"), array("i", [0]), array("i")
+    for k, w in enumerate(types):
+        flat.extend([numbers.setdefault(n, len(numbers)) for n in beginnings(w)])
+        first.append(len(flat))
+        hashed = features(w)
+        feature.extend(hashed)
+        of.extend([k] * len(hashed))
+    n_types, n_names = len(types), len(numbers)
+    del types, numbers
+    flat, feature, first, of = (np.array(x, np.int32) for x in (flat, feature, first, of))
+
+    def all_names(r: np.ndarray) -> np.ndarray:
+        many = first[r + 1] - first[r]
+        return np.unique(flat[np.repeat(first[r] - np.cumsum(many) + many, many) + np.arange(many.sum())]) if len(r) else r
+
+    own = [all_names(np.unique(r)) for r in rows]
     met: set[tuple[int, int, int]] = set()
 
     def new_contexts(k: int, among: np.ndarray) -> np.ndarray:
         wanted, r, fresh = set(among.tolist()), rows[k].tolist(), set()
         for at, word in enumerate(r):
-            for n in wanted.intersection(names[word].tolist()):
+            for n in wanted.intersection(flat[first[word] : first[word + 1]].tolist()):
                 context = (n, r[at - 1] if at else -1, r[at + 1] if at + 1 < len(r) else -1)
                 if context not in met:
                     met.add(context)
                     fresh.add(n)
         return np.array(sorted(fresh), np.int64)
 
-    sure = signs(own, y, len(numbers), new_contexts)
-    marked = np.array([bool(sure[n].any()) for n in names])
+    sure = signs(own, y, n_names, new_contexts)
+    del own, met
+    marked = np.bincount(np.repeat(np.arange(n_types), np.diff(first)), weights=sure[flat], minlength=n_types) > 0
     labels = [marked[r] & bool(t) for r, t in zip(rows, y)]
     use = [k for k in range(len(rows)) if y[k] and labels[k].any()]
     use += [k for k in range(len(rows)) if not y[k] and len(rows[k])][: FIT_CLEAN]
     if not any(labels[k].any() for k in use):
         return model
-    hashed = [features(w) for w in types]
-    of = np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
-    feature = np.concatenate([np.array(h, np.int64) for h in hashed])
     sizes = np.array([len(rows[k]) for k in use])
     parts = []
     for g in groups(sizes):
         ids, size = padded([rows[use[k]] for k in g], np.arange(len(g)), 0)
         want, _ = padded([labels[use[k]].astype(float) for k in g], np.arange(len(g)))
-        parts.append((ids.astype(np.int64), want, size, np.arange(ids.shape[1]) < size[:, None]))
+        parts.append((ids.astype(np.int32), want.astype(np.float32), size, np.arange(ids.shape[1]) < size[:, None]))
     total = len(use)
     w, t, start = model.weights, model.transitions, -3.0
     t[:] = [[0.5, -0.5], [0.0, 0.0]]
     w[0] = -3.0
     seen, seen_t, seen_s = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(epochs):
-        by_type = np.bincount(of, weights=w[feature], minlength=len(types))
-        grad_type, grad_t, grad_s = np.zeros(len(types)), np.zeros((2, 2)), 0.0
+        by_type = np.bincount(of, weights=w[feature], minlength=n_types)
+        grad_type, grad_t, grad_s = np.zeros(n_types), np.zeros((2, 2)), 0.0
         for ids, want, size, inside in parts:
             e = by_type[ids] * inside
             before, after, p = forward_backward(e, size, start, t)
-            grad_type += np.bincount(ids[inside], weights=(want - p)[inside], minlength=len(types))
+            grad_type += np.bincount(ids[inside], weights=(want - p)[inside], minlength=n_types)
             grad_s += float((want[:, 0] - p[:, 0]).sum())
             # pair marginals: log-weights of (a, b) at neighbours, up to a constant
             left, right = before[:, :-1], (after + e)[:, 1:]
@@ -231,9 +241,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 30, rate: float = 0.
         start += 0.3 * grad_s / np.sqrt(seen_s * total)
     model.start = start
     # calibration over all documents of the sample
-    by_type = np.bincount(of, weights=w[feature], minlength=len(types))
-    marginals = marginals_of(model, [by_type[r] for r in rows])
-    x = np.array([[1.0, *model.document(m)] for m in marginals])
+    by_type = np.bincount(of, weights=w[feature], minlength=n_types)
+    x = np.array([[1.0, *model.document(m)] for at in range(0, len(rows), 512) for m in marginals_of(model, [by_type[r] for r in rows[at : at + 512]])])
     c = np.zeros(3)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
