@@ -302,7 +302,9 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
     With `keep`, columns of `df` named score or offending give way to the results.
     """
     names = [c for c in df.columns if c not in ("score", "offending")] if keep else [id_col]
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias("_scored_text"))
+    extra = text_col not in names
+    source = df.select(*[F.col(f"`{c}`") for c in names], *[F.col(text_col)] * extra)
+    at_text = len(names) if extra else names.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
     key = str(id(sent)) + str(model.calibration)
 
@@ -316,12 +318,12 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = [t or "" for t in part.column(at_text).to_pylist()]
                 found, spans = tagger(texts), []
                 for t, m in zip(texts, found):
                     hits = set(np.flatnonzero(m >= tagger.model.threshold).tolist())
                     spans.append([{"start": w.start(), "end": w.end(), "probability": float(m[k])} for k, w in enumerate(_WORD.finditer(t)) if k in hits] if hits else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))], names=[*names, "score", "offending"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))], names=[*names, "score", "offending"])
 
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], "score double, offending array<struct<start: long, end: long, probability: double>>"])
     return source.mapInArrow(run, schema)
