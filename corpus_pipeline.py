@@ -1,8 +1,70 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: toxic documents go, one document of each group of near copies stays, personal data is replaced, the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Between stages the rows are written and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdictflow.llm import packing, pii, toxicity
+from verdictflow.llm.chosen_path import jaccard_join
+from verdictflow.llm.common import ensure_checkpoint_dir
+
+TOXIC = 0.7  # documents of this score or more are rejected
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below TOXIC; texts without words stay."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=True).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of similarity 0.8 on five-word shingles connect, the document of least id; repeated rows of an id are one row.
+
+    Rows without id and texts without words belong to no group and stay.
+    """
+    kept = jaccard_join(docs, n=5, threshold=0.8).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span found is replaced by its kind; n_chars is that of the new text."""
+    found = pii.find(docs, pii.fit(docs))
+    text = F.when(F.col("text").isNotNull(), pii.redact(F.col("text"), F.col("pii_spans")))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_copies", drop_near_copies),
+    ("personal_data", replace_personal_data),
+    ("packing", pack),
+]
+
+#: No stage can be written in SQL: a trained field, a randomized join, estimated reliabilities and a tokenizer. Tests hold the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written to the shared checkpoint folder and read again as the next one's input."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
