@@ -180,7 +180,7 @@ def expectation_maximisation(kinds: np.ndarray, votes: np.ndarray, counts: np.nd
                 right, wrong = like[1, 1] + like[-1, 0], like[-1, 1] + like[1, 0]
                 reliability[KINDS[k]][name] = float(right / (right + wrong))
             new[own] = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
+        if np.abs(new - post).max(initial=0.0) < 1e-6:
             break
         post = new
     return post, reliability
