@@ -27,7 +27,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "loose": r"(?<![\w+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])",
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,200}+[\"']?",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,}+[\"']?",
 }
 #: A column of candidates -> its kind.
 SOURCES = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "loose": "phone", "secret": "secret"}
