@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
+import math
 
 import corpus_pipeline
-from verdictflow.llm import pii
+from verdictflow.llm import chosen_path, pii
 
 DOCS = "doc_id long, text string, n_chars int"
 
@@ -23,3 +24,27 @@ def test_long_secrets_vanish_whole(spark):
         assert spans == [(text.index("token"), text.index(" and so on"))]
     left = {r.doc_id: r.text for r in corpus_pipeline.replace_personal_data(spark, docs, "").collect()}
     assert left == {k: f"login of service {k}: <secret> and so on" for k in left} and len(left) == 28
+
+
+def test_links_at_the_threshold(spark):
+    """Crowds in which every pair has the same similarity, too large to be compared before full depth: the links found are counted."""
+    shapes, size = {0.8: (80, 10), 0.82: (164, 18), 0.85: (170, 15)}, 200  # words that all share, words of one text
+    rows = []
+    for s, (core, own) in shapes.items():
+        for crowd in range(5 if s == 0.8 else 2):
+            shared = [f"c{s}-{crowd}-{k}" for k in range(core)]
+            rows += [(len(rows) + k, " ".join(shared + [f"o{s}-{crowd}-{k}-{j}" for j in range(own)]), s) for k in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s double")
+    links = {r.s: r.n for r in docs.join(chosen_path.jaccard_join(docs, n=1, threshold=0.8), "doc_id").groupBy("s").agg({"n_links": "sum"}).toDF("s", "n").collect()}
+    lost = {s: 1 - links[s] / (sum(r[2] == s for r in rows) * (size - 1)) for s in shapes}
+    assert all(v <= 1e-4 for v in lost.values())
+
+
+def test_runs_reach_the_recall():
+    for s in (0.7, 0.8, 0.85):
+        runs, lost = chosen_path.runs_for(0.9999, s), 0.0
+        least = s * 64 - 4.5 * math.sqrt(64 * s * (1 - s))
+        for agree in range(65):
+            stay = 0.75 * agree / 64 + 0.25 * (1 - (1 - agree / 64) ** 2)
+            lost += math.comb(64, agree) * s**agree * (1 - s) ** (64 - agree) * ((1 - stay**4) ** runs if agree >= least else 1)
+        assert lost <= 1e-4

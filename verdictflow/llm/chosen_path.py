@@ -2,8 +2,9 @@
 
 Equal sets are one class from the start. Each set has a signature of T minhashes. A run starts with all sets in one bucket and splits it recursively: a
 bucket's path chooses one coordinate of the signature, and with probability EXTRA a second one, and the sets that share the token sampled there
-go on together. Buckets of at most SMALL sets, or at depth DEPTH, are compared by brute force. Two sets of similarity s stay together at one split
-with probability (1 - EXTRA) s + EXTRA (1 - (1 - s)^2), so the number of runs follows from the recall that is asked for at the threshold and the full depth.
+go on together. Buckets of at most SMALL sets, or at depth DEPTH, are compared by brute force. Two sets whose signatures agree in a share a stay together at
+one split with probability (1 - EXTRA) a + EXTRA (1 - (1 - a)^2). All runs see the same T coordinates, so the number of runs follows from the recall that is
+asked for at the threshold and the full depth as an expectation over the binomial agreement of the T coordinates, less what the filter on signatures loses.
 
 Large buckets are compared block by block. A pair counts only in the first bucket that its sets share, so no pair is counted twice, and each comparison
 returns link counts and a spanning forest, never its pairs. Signatures sort out pairs first; what is left is verified on the sets themselves.
@@ -28,16 +29,47 @@ EXTRA = 0.25
 SMALL = 64
 DEPTH = 4
 BLOCK = 256  # sets of a large bucket that are compared with so many others at once
-SIGMAS = 4.5  # a pair whose signatures agree this many deviations less than expected at the threshold isn't verified
+SIGMAS = 4.5  # a pair whose signatures agree this many deviations less than expected at the threshold isn't verified, unless the recall needs it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, T, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, T, dtype=np.uint64)
 
 
+def _share(agree: int, threshold: float) -> float:
+    """The share of pairs at the threshold whose signatures agree in so many coordinates."""
+    return math.comb(T, agree) * threshold**agree * (1 - threshold) ** (T - agree)
+
+
+def least_agreement(recall: float, threshold: float) -> int:
+    """Coordinates in which signatures must agree for a pair to be verified; this loses at most half of what `recall` allows."""
+    least = max(0, math.ceil(threshold * T - SIGMAS * math.sqrt(T * threshold * (1 - threshold))))
+    while least and sum(_share(k, threshold) for k in range(least)) > (1 - recall) / 2:
+        least -= 1
+    return least
+
+
+def missed(runs: float, recall: float, threshold: float) -> float:
+    """The share of pairs at the threshold that `runs` runs of full depth and the filter lose."""
+    lost, least = 0.0, least_agreement(recall, threshold)
+    for agree in range(T + 1):
+        a = agree / T
+        one = (1 - EXTRA) * a + EXTRA * (1 - (1 - a) ** 2)
+        lost += _share(agree, threshold) * (1.0 if agree < least else (1 - one**DEPTH) ** runs)
+    return lost
+
+
 def runs_for(recall: float, threshold: float) -> int:
-    one = (1 - EXTRA) * threshold + EXTRA * (1 - (1 - threshold) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - one**DEPTH))
+    if missed(math.inf, recall, threshold) > 1 - recall:
+        raise ValueError(f"signatures of {T} coordinates can't reach a recall of {recall} at {threshold}")
+    high = 1
+    while missed(high, recall, threshold) > 1 - recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid, recall, threshold) > 1 - recall else (low, mid)
+    return high
 
 
 _WORDS = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
@@ -151,9 +183,9 @@ def _numbers(column: pa.Array, name: str) -> np.ndarray:
     return column.field(name).to_numpy(zero_copy_only=False)
 
 
-def _likely(threshold: float):
+def _likely(recall: float, threshold: float):
     """Per two blocks: the sets that have a pair worth verifying here."""
-    least = threshold * T - SIGMAS * math.sqrt(T * threshold * (1 - threshold))
+    least = least_agreement(recall, threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +275,7 @@ def jaccard_join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     live = buckets(reps, runs_for(recall, threshold))
     lists = live.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     detail = cut(reps.join(lists, "rep").select("rep", "n", "mult", "sig", "buckets"))
-    likely = cut(_blocks(live, detail.select("rep", "n", "sig", "buckets"), ["n", "sig", "buckets"]).mapInArrow(_likely(threshold), "bucket long, lo int, hi int, rep long"))
+    likely = cut(_blocks(live, detail.select("rep", "n", "sig", "buckets"), ["n", "sig", "buckets"]).mapInArrow(_likely(recall, threshold), "bucket long, lo int, hi int, rep long"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
