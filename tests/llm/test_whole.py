@@ -5,7 +5,10 @@ import hashlib
 import math
 
 import corpus_pipeline
-from verdictflow.llm import chosen_path, pii
+from pyspark.sql import functions as F
+
+from verdictflow.llm import chosen_path, pii, toxicity
+from verdictflow.llm.histogram_sort import histogram_shards
 
 DOCS = "doc_id long, text string, n_chars int"
 
@@ -48,3 +51,12 @@ def test_runs_reach_the_recall():
             stay = 0.75 * agree / 64 + 0.25 * (1 - (1 - agree / 64) ** 2)
             lost += math.comb(64, agree) * s**agree * (1 - s) ** (64 - agree) * ((1 - stay**4) ** runs if agree >= least else 1)
         assert lost <= 1e-4
+
+
+def test_field_fits_clean_texts_of_least_hash(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, int(k % 50 == 0)) for k in range(4000)], "doc_id long, toxic int")
+    docs = labels.selectExpr("doc_id", "concat('text ', doc_id) as text")
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: [t for t, y in zip(texts, toxic) if not y])
+    fitted = toxicity.fit(docs, labels)[: toxicity.FIT_CLEAN]
+    clean = labels.where((labels.toxic == 0) & ~toxicity.held_out(labels.doc_id)).orderBy(F.xxhash64("doc_id")).limit(toxicity.FIT_CLEAN)
+    assert fitted == [f"text {r.doc_id}" for r in clean.collect()] and len(fitted) == toxicity.FIT_CLEAN

@@ -274,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = own.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     picked = [own.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     sample = picked[0].unionAll(picked[1])
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).collect()
-    rows.sort(key=lambda r: r["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).withColumn("_hash", F.xxhash64("_id")).collect()
+    rows.sort(key=lambda r: (r["_hash"], r["_id"]))  # train() fits the field to the first clean ones
     return train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
 
 
