@@ -60,3 +60,15 @@ def test_field_fits_clean_texts_of_least_hash(spark, monkeypatch):
     fitted = toxicity.fit(docs, labels)[: toxicity.FIT_CLEAN]
     clean = labels.where((labels.toxic == 0) & ~toxicity.held_out(labels.doc_id)).orderBy(F.xxhash64("doc_id")).limit(toxicity.FIT_CLEAN)
     assert fitted == [f"text {r.doc_id}" for r in clean.collect()] and len(fitted) == toxicity.FIT_CLEAN
+
+
+def test_one_large_row_does_not_loosen_the_shards(spark):
+    """Groups of copies of a third of a shard beside one row of nearly half a shard: only the boundary that falls into this row is off."""
+    rows = [(k, f"group {k % 50}", 10) for k in range(20_000)] + [(20_000, "large", 5_000)]
+    placed = histogram_shards(spark.createDataFrame(rows, "doc_id long, key string, size long"), ["key"], ["doc_id"], "size", shards=16)
+    loads = {r.shard: r.size for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    mean, below, off = 205_000 / 16, 0, []
+    for k in range(15):
+        below += loads.get(k, 0)
+        off.append(abs(below - mean * (k + 1)))
+    assert sum(loads.values()) == 205_000 and sorted(off)[-2] <= 0.01 * mean and max(off) <= 2_500 + 0.01 * mean

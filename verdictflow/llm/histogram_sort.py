@@ -34,8 +34,8 @@ def _digit(round_: int) -> Column:
 def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[int]:
     """The shards - 1 boundaries as 128-bit numbers: rows whose key is below boundary k belong to shards 0 to k.
 
-    `keys` holds key_hi, key_lo and size. Each boundary is exact to `tolerance` of a shard's mean size (or the
-    largest row, if that is more), or cuts between two neighbouring keys.
+    `keys` holds key_hi, key_lo and size. Each boundary is exact to `tolerance` of a shard's mean size, or is
+    an edge of the one row, or of the rows of one key, that its target falls into.
     The driver gets at most shards * 4096 sums a round, whatever the input.
     """
     prefix, total, found = {0: 0}, None, {}
@@ -49,24 +49,24 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[int]:
                 inside = _begins(p, BITS * round_)
                 above, wanted = F.when(inside, F.lit(n).cast("long")).otherwise(above), wanted | inside
             rows = keys.where(wanted)
-        sums = rows.groupBy(above.alias("bracket"), _digit(round_).alias("digit")).agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).collect()
-        own: dict[int, list[tuple[int, int]]] = {}
+        sums = rows.groupBy(above.alias("bracket"), _digit(round_).alias("digit")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+        own: dict[int, list[tuple[int, int, int]]] = {}
         starts = sorted(set(bracket.values())) if round_ else [0]
         for r in sums:
-            own.setdefault(starts[r["bracket"]], []).append((r["digit"], int(r["bytes"] or 0)))
+            own.setdefault(starts[r["bracket"]], []).append((r["digit"], int(r["bytes"] or 0), int(r["rows"])))
         if total is None:
-            total = sum(b for v in own.values() for _, b in v)
-            near = max(tolerance * total / shards, *(int(r["most"] or 0) for r in sums), 0)
+            total = sum(b for v in own.values() for _, b, _ in v)
+            near = tolerance * total / shards
         nearer: dict[int, int] = {}
         below_of: dict[int, int] = {}
         for k, p in bracket.items():
             target, below, best = total * k / shards, prefix[p], None
-            for digit, n in sorted(own.get(p, [])):
+            for digit, n, many in sorted(own.get(p, [])):
                 edge = (p << BITS | digit) << 128 - BITS * (round_ + 1) if BITS * (round_ + 1) <= 128 else (p << BITS | digit) >> BITS * (round_ + 1) - 128
                 for boundary, under in ((edge, below), (edge + (1 << max(0, 128 - BITS * (round_ + 1))), below + n)):
                     if best is None or abs(under - target) < abs(best[1] - target):
                         best = (boundary, under)
-                if below <= target < below + n:
+                if below <= target < below + n and many > 1:  # one row can't be cut
                     nearer[k], below_of[p << BITS | digit] = p << BITS | digit, below
                 below += n
             if best is None or abs(best[1] - target) <= near or k not in nearer or round_ == ROUNDS - 1:
