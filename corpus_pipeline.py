@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verdictflow.llm import packing, pii, toxicity
 from verdictflow.llm.chosen_path import jaccard_join
-from verdictflow.llm.common import ensure_checkpoint_dir
+from verdictflow.llm.common import cut, ensure_checkpoint_dir
 
 TOXIC = 0.7  # documents of this score or more are rejected
 
@@ -25,13 +25,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similarity 0.8 on five-word shingles connect, the document of least id; repeated rows of an id are one row.
+    """Of each group that links of similarity 0.8 on five-word shingles connect, the document of least id; repeated rows of an id and text are one row. Texts that share an id are documents of their own.
 
     Rows without id and texts without words belong to no group and stay.
     """
-    kept = jaccard_join(docs, n=5, threshold=0.8).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    keys = cut(named.select("doc_id", "_key").distinct())
+    if keys.groupBy("doc_id").count().where("count > 1").isEmpty():
+        numbers = keys.withColumn("_node", F.col("doc_id").cast("long"))
+        joined = jaccard_join(docs, n=5, threshold=0.8)
+    else:  # an id stands for several texts: they are told apart by numbers in the order of id and key
+        numbers = cut(keys.sort("doc_id", "_key").withColumn("_node", F.monotonically_increasing_id()))
+        joined = jaccard_join(named.join(numbers, ["doc_id", "_key"]).select(F.col("_node").alias("doc_id"), "text"), n=5, threshold=0.8)
+    kept = joined.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").cast("long").alias("_node")).distinct()
+    kept = numbers.join(kept, "_node", "left_semi").drop("_node")
+    named = named.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()).select(docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

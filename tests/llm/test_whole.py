@@ -72,3 +72,14 @@ def test_one_large_row_does_not_loosen_the_shards(spark):
         below += loads.get(k, 0)
         off.append(abs(below - mean * (k + 1)))
     assert sum(loads.values()) == 205_000 and sorted(off)[-2] <= 0.01 * mean and max(off) <= 2_500 + 0.01 * mean
+
+
+def test_texts_of_one_id_are_apart(spark):
+    """Of two texts that share an id only near copies go, and of those the ones of least id stay."""
+    words = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, words("a")), (5, words("b")), (5, words("b")), (3, words("b") + " end"), (7, words("a") + " end"), (8, None), (8, ""), (9, words("c")), (9, words("c") + " end"), (None, words("a"))]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in rows], DOCS)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    c = [x for x in left if x[0] == 9]
+    assert len(c) == 1 and c[0] in rows
+    assert sorted((x for x in left if x[0] != 9), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[9]], key=str)
