@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import JSON_NAMES, MANDATE_FIELDS
 
+MARK = "struct<params: string>"  # params of any form
 MESSAGE = "struct<id: string, method: string, params: struct<name: string, arguments: string>>"
 
 
@@ -19,17 +20,18 @@ def read_line_stream(spark: SparkSession, path: str, files_a_trigger: int = 100)
 
 
 def parse(lines: DataFrame, col: str = "value") -> DataFrame:
-    """`lines` with batch_id, pos, rpc_id, method, tool_name, raw_args: a row per message. Lines that aren't JSON objects or arrays give one row of nulls."""
+    """`lines` with batch_id, pos, rpc_id, method, tool_name, raw_args, has_params: a row per message. Lines that aren't JSON objects or arrays give one row of nulls."""
     text = F.trim(F.col(col))
-    batch = F.from_json(text, f"array<{MESSAGE}>")
     is_batch = text.startswith("[")
-    items = F.when(is_batch, batch).otherwise(F.array(F.from_json(text, MESSAGE)))
-    told = lines.select("*", F.when(is_batch, F.sha2(text, 256)).alias("batch_id"), F.posexplode_outer(items).alias("pos", "_m"))
-    return told.select(*lines.columns, "batch_id", "pos", F.col("_m.id").alias("rpc_id"), F.col("_m.method").alias("method"), F.col("_m.params.name").alias("tool_name"), F.col("_m.params.arguments").alias("raw_args"))
+    read = lambda kind: F.when(is_batch, F.from_json(text, f"array<{kind}>")).otherwise(F.array(F.from_json(text, kind)))
+    items = F.arrays_zip(read(MESSAGE).alias("m"), read(MARK).alias("mark"))
+    told = lines.select("*", F.when(is_batch, F.sha2(text, 256)).alias("batch_id"), F.posexplode_outer(items).alias("pos", "_i")).withColumn("_m", F.col("_i.m"))
+    return told.select(*lines.columns, "batch_id", "pos", F.col("_m.id").alias("rpc_id"), F.col("_m.method").alias("method"), F.col("_m.params.name").alias("tool_name"), F.col("_m.params.arguments").alias("raw_args"), F.col("_i.mark.params").isNotNull().alias("has_params"))
 
 
 def tool_calls(messages: DataFrame) -> DataFrame:
-    return messages.where((F.col("method") == "tools/call") & F.col("tool_name").isNotNull())
+    """The calls among `messages`: those with params. A missing name is the empty one."""
+    return messages.where((F.col("method") == "tools/call") & F.col("has_params")).withColumn("tool_name", F.coalesce("tool_name", F.lit(""))).drop("has_params")
 
 
 def read_mandates(spark: SparkSession, path: str) -> DataFrame:
