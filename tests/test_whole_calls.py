@@ -14,3 +14,10 @@ def test_calls_without_name_are_judged(spark):
     got = [(r.rpc_id, r.tool_name, r.verdict) for r in verdicts.assess(rpc.tool_calls(rpc.parse(lines))).collect()]
     want = [("0", "", "BLOCK"), ("1", "", "BLOCK"), ("2", "note", "BLOCK"), ("3", "", "ALLOW"), ("4", "", "ALLOW")]
     assert sorted(got) == sorted(want * 2)
+
+
+def test_changes_without_session_are_one_session(spark):
+    rows = [(None, 2, '{"allowWrite": true}', "key"), (None, 1, '{"allowWrite": true}', None), (2**60 + 1, 1, '{"riskTolerance": "low"}', None), (None, 3, None, None)]
+    past = mandates.history(spark.createDataFrame(rows, "session_id long, seq int, request string, secret string"), "key")
+    got = sorted(((r.session_id, r.seq, r.status, r.mandate.allow_write) for r in past.collect()), key=str)
+    assert got == sorted([(None, 1, "ESCALATION_BLOCKED", False), (None, 2, "mandate_updated", True), (None, 3, "mandate_reset", False), (2**60 + 1, 1, "mandate_updated", False)], key=str)

@@ -16,6 +16,8 @@ from ..schema import MANDATE, default_mandate
 def history(changes: DataFrame, secret: str | None = None, cwd: str = "/workspace") -> DataFrame:
     """(session_id, seq, status, mandate) per row of `changes` (session_id, seq, request JSON, secret; a null request resets).
 
+    Rows without session_id are one session of their own.
+
     Rows of a session are taken in order from a sorted partition; one mandate is held in memory, whatever a session's length.
     """
     schema = f"session_id {changes.schema['session_id'].dataType.simpleString()}, seq long, status string, mandate string"
@@ -38,8 +40,13 @@ def history(changes: DataFrame, secret: str | None = None, cwd: str = "/workspac
                 out.append((r.session_id, r.seq, status, json.dumps(now)))
             yield pd.DataFrame(out, columns=["session_id", "seq", "status", "mandate"])
 
-    ordered = changes.select("session_id", F.col("seq").cast("long").alias("seq"), "request", "secret").where("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return ordered.mapInPandas(fold, schema).withColumn("mandate", F.from_json("mandate", MANDATE))
+    rows = changes.select("session_id", F.col("seq").cast("long").alias("seq"), "request", "secret")
+    # apart, since a column of numbers with nulls reaches pandas as floats
+    known, other = rows.where("session_id is not null"), rows.where("session_id is null").withColumn("session_id", F.lit(""))
+    folded = known.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(fold, schema)
+    nameless = other.repartition("session_id").sortWithinPartitions("seq").mapInPandas(fold, "session_id string, seq long, status string, mandate string")
+    nameless = nameless.withColumn("session_id", F.lit(None).cast(changes.schema["session_id"].dataType))
+    return folded.unionByName(nameless).withColumn("mandate", F.from_json("mandate", MANDATE))
 
 
 def as_of(calls: DataFrame, versions: DataFrame) -> DataFrame:

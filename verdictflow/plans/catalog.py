@@ -95,8 +95,8 @@ def batch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mandate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases ask for more risk, by value, of a locked mandate; errors reset it."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+    """Purchases ask for more risk, by value, of a locked mandate; errors reset it. As the SQL says, events without user are left out."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error") & F.col("user_id").isNotNull())
     ask = F.to_json(F.struct(F.when(F.col("value") > 50, "high").otherwise("low").alias("riskTolerance")))
     changes = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", ask).alias("request"), F.lit(None).cast("string").alias("secret"))
     return mandates.history(changes).select("session_id", "seq", "status", F.col("mandate.risk_tolerance").alias("risk_tolerance"))
