@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +39,27 @@ class TwoGenerationCache(dict):
         self[key] = value
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` whose texts in `column` come to about `most` bytes, or of one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where none is set (tests) take a local folder."""
+    """Use the cluster's spark.checkpoint.dir. Only a local session without one (tests) takes a folder of this machine, removed when Python ends."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -46,26 +68,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of `edges` (a, b) reaches.
+ROUND_SCHEMA = "node long, next long"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, next): the least node that each node of the edges (a, b) reaches, by union-find."""
+    low: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while low[n] != n:
+            low[n] = low[low[n]]
+            n = low[n]
+        return n
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(low.setdefault(a, a)), root(low.setdefault(b, b))
+            if a != b:
+                low[max(a, b)] = min(a, b)
+    nodes = list(low)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], names=["node", "next"])
+
+
+def connected_components(edges: DataFrame, few: int = 200_000) -> DataFrame:
+    """(node, component): the smallest node that each node of `edges` (a, b) reaches. Nodes are integers.
 
-    Every round takes the smallest label among a node's neighbours and then the label of that label
-    (pointer jumping), so chains shrink by halves. The minima are combined before the shuffle and the join
-    is on a table with one row per node, so a node of any degree is split by the skew join. The only values that
-    reach the driver are counts. Self-links give a node its own component; nulls are ignored.
+    A round contracts: every node goes over to that of its neighbours and itself which has the least hash of the round, so edges stay edges or vanish, and components stay apart.
+    As the hashes are new in each round, a part of the nodes vanishes whatever the shape, so chains settle in rounds that grow with the logarithm of their length; there is no
+    limit on rounds. Once at most `few` distinct edges are left, one task joins them. Every round is written to the checkpoint folder; the driver sees counts only. The joins
+    are on tables with one row per node, so the rows of a node of any degree may be split between tasks. Self-links give a node its own component; nulls are ignored.
     """
-    edges = edges.where("a is not null and b is not null")
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        )
-        hop = labels.join(near, "node", "left").select("node", "component", F.least("component", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("above"))
-        new = cut(hop.join(up, "low", "left").select("node", F.least("low", "above").alias("component"), (F.least("low", "above") != F.col("component")).alias("moved")))
-        changed = new.where("moved").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    edges = edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
+    level = cut(nodes.select("node", F.col("node").alias("low")))  # low: the least first node that became this one
+    left, moves = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
+    while (n := left.count()) > few:
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("node"))
+        offers = left.select(F.col("a").alias("node"), rank("b").alias("r")).union(left.select(F.col("b"), rank("a"))).union(level.select("node", rank("node")))
+        moves.append(cut(offers.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.node").alias("next"))))
+        level = cut(level.join(moves[-1], "node").groupBy(F.col("next").alias("node")).agg(F.min("low").alias("low")))
+        to = lambda c: moves[-1].select(F.col("node").alias(c), F.col("next").alias(f"{c}_"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").where("a_ != b_")
+        left = cut(moved.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct())
+    if n:
+        end = left.repartition(1).mapInArrow(_joined, ROUND_SCHEMA)
+        level = cut(level.join(end, "node", "left").withColumn("root", F.coalesce("next", "node")))
+        roots = level.groupBy("root").agg(F.min("low").alias("component"))
+        level = cut(level.join(roots, "root").select("node", "component"))
+    else:
+        level = level.withColumnRenamed("low", "component")
+    for move in reversed(moves):
+        level = cut(move.join(level.withColumnRenamed("node", "next"), "next").select("node", "component"))
+    return level

@@ -17,12 +17,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache
+from .common import TwoGenerationCache, by_bytes
 from .prefix_counts import compiled
 
 LONGEST_CACHED = 64
@@ -31,14 +32,14 @@ LONGEST_CACHED = 64
 class WordTokenizer:
     """Ids of a lower-casing vocabulary with word ends that drops white space.
 
-    What stands between spaces or line ends is encoded on its own and cached. Its words, of Latin letters at least, are
-    cached too, and the new ones of many texts go to the library in one string; each ends with a token that closes a word.
+    What stands between spaces or line ends is a key, encoded on its own, once for many texts, and cached. Its words, of Latin letters at least, are
+    cached too, and the new ones go to the library in one string; each ends with a token that closes a word.
     """
 
     #: The vocabulary's published split pattern; a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, end_id: int, cache: int = 300_000):
+    def __init__(self, path: str, end_id: int, cache: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -67,36 +68,59 @@ class WordTokenizer:
                 out += [self.whole(w) for w in own]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id included."""
-        cache, word_cache, fresh, kept = self.cache, self.word_cache, {}, []
-        for t in texts:
-            keys = t.replace("\n", " ").split(" ")
-            found = [cache.get(k) for k in keys]
-            if None in found:
-                fresh |= {k: None for k, f in zip(keys, found) if f is None}
-            kept.append((keys, found))
+    def parts(self, keys: list[str]) -> list[bytes]:
+        """The ids of each of `keys`, which differ and hold no space or line end."""
+        cache, word_cache = self.cache, self.word_cache
+        found = [cache.get(k) for k in keys]
         cuts, words = [], {}
-        for k in fresh:
+        for at, k in enumerate(keys):
+            if found[at] is not None:
+                continue
             if (known := cache.old.get(k)) is not None:
-                fresh[k] = known
+                found[at] = known
+            elif k.isascii() and k.isalpha():
+                cuts.append((at, (w := k.lower(),)))
+                words[w] = None
             elif self.latin.fullmatch(k) and "<|" not in k:
-                cut = [k.lower()] if k.isalpha() and k.isascii() else self.words.findall(k.lower())
-                cuts.append((k, cut))
-                for w in cut:
-                    if w not in words and (known := word_cache.get(w)) is None:
-                        words[w] = word_cache.old.get(w)
+                cuts.append((at, own := self.words.findall(k.lower())))
+                words |= dict.fromkeys(own)
             else:
-                fresh[k] = self.whole(k)
-        new = [w for w, ids in words.items() if ids is None]
-        words |= dict(zip(new, self.new_words(new)))
-        for k, cut in cuts:
-            fresh[k] = b"".join([words[w] if w in words else word_cache[w] for w in cut])
-        for own, found in ((word_cache, words), (cache, fresh)):
-            for k, v in found.items():
-                if len(k) <= LONGEST_CACHED:
-                    own.put(k, v)
-        return [b"".join([*[f if f is not None else fresh[k] for k, f in zip(keys, found)], self.end]) for keys, found in kept]
+                found[at] = self.whole(k)
+            if found[at] is not None and len(k) <= LONGEST_CACHED:
+                cache.put(k, found[at])
+        new = []
+        for w in words:
+            known = word_cache.get(w) or word_cache.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                words[w] = known
+        for w, ids in zip(new, self.new_words(new)):
+            words[w] = ids
+            if len(w) <= LONGEST_CACHED:
+                word_cache.put(w, ids)
+        for at, cut in cuts:
+            found[at] = ids = words[cut[0]] if len(cut) == 1 else b"".join([words[w] for w in cut])
+            if len(keys[at]) <= LONGEST_CACHED:
+                cache.put(keys[at], ids)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[bytes, list[int]]:
+        """Little-endian unsigned 32-bit ids of all texts, the end id after each, and where each text's begin and the last one's end, in bytes.
+
+        Equal keys of the texts are looked up once; their ids are then dealt out by their numbers.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        own = [*self.parts(coded.dictionary.to_pylist()), self.end]
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        which = np.insert(coded.indices.to_numpy(), ends, len(own) - 1)
+        size = np.array([len(x) // 4 for x in own])
+        flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        many = size[which]
+        upto = np.cumsum(many)
+        ids = flat[np.repeat(starts[which] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids.tobytes(), [0, *(4 * upto[ends + np.arange(len(ends))]).tolist()]
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
@@ -226,11 +250,11 @@ def pack(df: DataFrame, vocabulary: str, tiers: Iterable[int] = (256, 512, 1024,
 
         for b in batches:
             kind = b.schema.field(0).type
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in by_bytes(b, 1):
+                raw, cuts = coder.encode(part.column(1))
                 done: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    done += packer.put(doc, ids)
+                for doc, i, j in zip(part.column(0).to_pylist(), cuts, cuts[1:]):
+                    done += packer.put(doc, raw[i:j])
                 if done:
                     yield rows(done)
         if kind is not None and (done := packer.finish()):
