@@ -263,3 +263,38 @@ def test_pipeline_keeps_clean_documents(spark, documents):
     assert set(packed_rows.doc_id) == {r.doc_id for r in private.select("doc_id").collect()}
     assert math.isclose(packed_rows.length.sum(), packed_rows.token_ids.map(len).sum() / 4)
     assert [name for name, _ in cp.STAGES] == ["toxicity", "near_copies", "personal_data", "packing"]
+
+
+def near_by_force(rows):
+    """links, (class, representative, partners) of each of `rows` (id, text), by all pairs."""
+    sets = [shingles(t or "") for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    low, n, same = classes(range(len(rows)), links), defaultdict(int), defaultdict(list)
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    for i in range(len(rows)):
+        same[low[i]].append(rows[i][0])
+    twins = {frozenset(s): min(rows[j][0] for j in range(len(rows)) if sets[j] == s) for s in sets if s}
+    return [(rows[i][0], min(same[low[i]]), twins[frozenset(sets[i])] if sets[i] else rows[i][0], n[i]) for i in range(len(rows))]
+
+
+def test_op6_links_and_representatives(spark):
+    """Revisions of a text (a chain), a crowd larger than a bucket of brute force, exact copies, and one id with two texts."""
+    from verdictflow.llm.chosen_path import jaccard_join
+
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(4000)]
+    chain, rows = list(rng.choice(words, 60)), []
+    for k in range(300):  # neighbours are near, the ends are not
+        chain[k * 7 % 60] = f"r{k}"
+        rows.append((int(k * 7919 % 1000), " ".join(chain)))
+    crowd = list(rng.choice(words, 90))
+    for k in range(320):
+        own = list(crowd)
+        own[int(rng.integers(90))] = f"x{k % 150}"
+        rows.append((2000 + k, " ".join(own)))
+    rows += [(5, rows[310][1].upper()), (5, rows[10][1]), (7, None), (8, ""), (9, "a b"), (10, "A  b")]
+    got = [tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "rep_id", "n_links").collect()]
+    want = near_by_force(rows)
+    assert sum(w[3] for w in want) > 20_000 and sorted(got) == sorted(want)

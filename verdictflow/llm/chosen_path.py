@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, connected_components, cut
+from .common import TwoGenerationCache, by_bytes, connected_components, cut
 
 T = 64  # coordinates of a signature
 EXTRA = 0.25
@@ -100,6 +100,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(33)).astype(np.int32)
 
 
+def _keys(sets: list[bytes]) -> list[pa.Array]:
+    """The two halves of each set's 128-bit key."""
+    own = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in sets]), "<i8").reshape(-1, 2)
+    return [pa.array(own[:, 0]), pa.array(own[:, 1])]
+
+
 def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, k1, k2, n, sig): a 128-bit key of each document's set, its size and signature."""
 
@@ -109,16 +115,11 @@ def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                k1, k2, size, sig = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    s = shingles(t or "", n)
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    k1.append(int.from_bytes(key[:8], "little", signed=True))
-                    k2.append(int.from_bytes(key[8:], "little", signed=True))
-                    size.append(len(s))
-                    sig.append(signature(s))
+                own = [shingles(t or "", n) for t in part.column(1).to_pylist()]
+                size, sig = [len(s) for s in own], [signature(s) for s in own]
+                k1, k2 = _keys([s.tobytes() for s in own])
                 flat = pa.array(np.concatenate(sig) if sig else np.empty(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(range(0, T * len(k1) + 1, T), pa.int32()), flat)], names=["doc_id", "k1", "k2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(range(0, T * len(own) + 1, T), pa.int32()), flat)], names=["doc_id", "k1", "k2", "n", "sig"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n int, sig array<int>")
@@ -152,7 +153,7 @@ def buckets(reps: DataFrame, runs: int) -> DataFrame:
 
 
 def _blocks(live: DataFrame, detail: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each two blocks of a bucket that meet: (bucket, lo, hi, items)."""
+    """A row for each two blocks of a bucket that meet: (bucket, lo, hi, items). As n_links counts every partner, each set of a large bucket meets all its blocks."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = live.join(detail, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.groupBy("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "own", *columns)).alias("items")).where(F.size("items") > 1)
@@ -189,7 +190,7 @@ def _likely(recall: float, threshold: float):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items, out = b.column(3), ([], [], [], [])
+            items, out = b.column(3), ([], [], [], [], [])
             for k in range(b.num_rows):
                 g = items[k].values
                 size, sig = _numbers(g, "n"), g.field("sig").flatten().to_numpy().reshape(-1, T)
@@ -201,11 +202,12 @@ def _likely(recall: float, threshold: float):
                 np.fill_diagonal(good, False)
                 if not good.any():
                     continue
-                good &= _meeting(_numbers(g, "own"), g.field("buckets").to_pylist(), bucket, lo, hi)
+                own, rep = _numbers(g, "own"), _numbers(g, "rep")
+                good &= _meeting(own, g.field("buckets").to_pylist(), bucket, lo, hi)
                 for i in np.flatnonzero(good.any(axis=0) | good.any(axis=1)).tolist():
-                    for o, v in zip(out, (bucket, lo, hi, g.field("rep")[i].as_py())):
+                    for o, v in zip(out, (bucket, lo, hi, int(rep[i]), int(own[i]))):
                         o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["bucket", "lo", "hi", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["bucket", "lo", "hi", "rep", "own"])
 
     return run
 
@@ -241,6 +243,7 @@ def _verified(threshold: float):
             out: tuple[list, list, list] = ([], [], [])
             for k in range(b.num_rows):
                 g = b.column(3)[k].values
+                g = g.take(pa.array(np.unique(_numbers(g, "rep"), return_index=True)[1]))  # texts of one id and set come once
                 rep, many = _numbers(g, "rep"), _numbers(g, "mult")
                 sets = [np.frombuffer(x, np.uint64) for x in g.field("set").to_pylist()]
                 both, size = overlaps(sets), np.array([len(s) for s in sets])
@@ -268,32 +271,33 @@ def jaccard_join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     Two documents are linked if the Jaccard similarity of their sets of `n`-grams of words is at least `threshold`; documents of equal sets are. rep_id is the
     smallest id of the same set, class_id the smallest id reachable by links, n_links the number of other rows linked directly. Every link reported is exact; a link at
     the threshold is found with probability `recall` at least. Null and texts without words are linked with nothing, nor are rows whose set has no id but null.
-    Rows may repeat (each counts); an id must not stand for different texts. Other columns are not read. An empty table gives no rows. Ids are integers.
+    Rows may repeat (each counts); rows of one id and different texts are documents of their own. Other columns are not read. An empty table gives no rows. Ids are integers.
     """
     all_ = cut(_sets(df, n, id_col, text_col))
-    reps = cut(all_.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    own = all_.where("n > 0 and doc_id is not null").groupBy("k1", "k2")
+    reps = own.agg(F.min(F.col("doc_id").cast("long")).alias("low"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))  # a set's number; least ids may be shared
     live = buckets(reps, runs_for(recall, threshold))
     lists = live.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    detail = cut(reps.join(lists, "rep").select("rep", "n", "mult", "sig", "buckets"))
-    likely = cut(_blocks(live, detail.select("rep", "n", "sig", "buckets"), ["n", "sig", "buckets"]).mapInArrow(_likely(recall, threshold), "bucket long, lo int, hi int, rep long"))
+    detail = cut(reps.join(lists, "rep").select("rep", "low", "k1", "k2", "n", "mult", "sig", "buckets"))
+    likely = cut(_blocks(live, detail.select("rep", "n", "sig", "buckets"), ["n", "sig", "buckets"]).mapInArrow(_likely(recall, threshold), "bucket long, lo int, hi int, rep long, own int"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["rep", "set"])
-
-    wanted = likely.select("rep").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    full = texts.mapInArrow(sets, "rep long, set binary").join(detail.select("rep", "mult", "buckets"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("_n"))  # the block, as in _blocks
-    size = live.groupBy("bucket").agg(F.max("size").alias("size"))
-    meet = likely.join(size, "bucket").withColumn("_n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", own.cast("int"))
-    pairs = meet.join(full, "rep").groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("rep", "own", "mult", "buckets", "set")).alias("items")).where(F.size("items") > 1)
+            for part in by_bytes(b, 1, 1 << 20):
+                found = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
+                k1, k2 = _keys(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(found, pa.binary())], names=["low", "k1", "k2", "set"])
+
+    used = detail.join(likely.select("rep").distinct(), "rep", "left_semi").select("rep", "low", "k1", "k2", "mult", "buckets")
+    texts = df.select(F.col(id_col).cast("long").alias("low"), F.col(text_col).alias("text")).join(used.select("low").distinct(), "low", "left_semi").dropDuplicates(["low", "text"])
+    full = texts.mapInArrow(sets, "low long, k1 long, k2 long, set binary").join(used, ["low", "k1", "k2"]).select("rep", "mult", "buckets", "set")
+    pairs = likely.join(full, "rep").groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("rep", "own", "mult", "buckets", "set")).alias("items")).where(F.size("items") > 1)
     found = cut(pairs.mapInArrow(_verified(threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of = reps.select("k1", "k2", "rep", "mult").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("k1", "k2", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    least = classes.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("class_id"))
+    of = reps.select("k1", "k2", "rep", "low", "mult").join(links, "rep", "left").join(classes.join(least, "component").select("rep", "class_id"), "rep", "left")
+    of = of.select("k1", "k2", F.col("low").alias("rep_id"), F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     joined = all_.select("doc_id", "k1", "k2", "n").join(of, ["k1", "k2"], "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
