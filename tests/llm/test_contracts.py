@@ -298,3 +298,49 @@ def test_op6_links_and_representatives(spark):
     got = [tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "rep_id", "n_links").collect()]
     want = near_by_force(rows)
     assert sum(w[3] for w in want) > 20_000 and sorted(got) == sorted(want)
+
+
+def crowd(rng, dim):
+    """Vectors of three labels: without structure, in clusters of every width, a chain whose neighbours are linked, and a crowd that hardly anything divides."""
+    rows = [(rng.normal(size=dim), 0) for _ in range(500)]
+    for k in range(40):
+        base = rng.normal(size=dim)
+        rows += [(base + rng.normal(size=dim) * width, k % 2) for width in (0.0, 0.02, 0.1, 0.2) for _ in range(6)]
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    rows += [(np.cos(0.15 * k) * a + np.sin(0.15 * k) * b, 1) for k in range(38)]
+    base = rng.normal(size=dim)
+    rows += [(base + rng.normal(size=dim) * 1e-3, 2) for _ in range(400)]
+    return [rows[k] for k in rng.permutation(len(rows))]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_op4_with_many_blocks(spark, kind):
+    """Cells within cells and dealt blocks, against all pairs."""
+    from verdictflow.llm.cover_tree import near_pairs
+
+    vectors = [(k, v.astype(np.float32 if kind == "float" else float), label) for k, (v, label) in enumerate(crowd(np.random.default_rng(11), 12))]
+    df = spark.createDataFrame([(k, [float(x) for x in v], label) for k, v, label in vectors], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_pairs(df, block=30).collect()}
+    unit = np.array([v.astype(float) / np.linalg.norm(v.astype(float)) for _, v, _ in vectors])
+    labels = np.array([label for _, _, label in vectors])
+    near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    low = classes(range(len(vectors)), list(zip(*np.nonzero(near))))
+    assert near.sum() > 50_000 and got == {k: (int(near[k].sum()), int(low[k])) for k in low}
+
+
+def test_cover_tree_holds_every_point():
+    from verdictflow.llm.cover_tree import CoverTree, dual
+
+    rng = np.random.default_rng(5)
+    points = np.array([v / np.linalg.norm(v) for v, _ in crowd(rng, 6)])
+    tree = CoverTree(points)
+    assert sorted(tree.order) == list(range(len(points)))
+    for u in range(len(tree.radius)):
+        far = np.linalg.norm(points[tree.order[tree.low[u] : tree.high[u]]] - tree.centers[u], axis=1)
+        assert far.max() <= tree.radius[u] + 1e-6
+        if len(kids := tree.children[u]):
+            assert sorted(tree.low[kids])[0] == tree.low[u] and sum(tree.high[kids] - tree.low[kids]) == tree.high[u] - tree.low[u]
+    i, j = dual(tree, tree, 0.9)
+    near = np.triu(points @ points.T >= 0.9, 1)
+    assert {tuple(sorted(p)) for p in zip(i, j)} == set(zip(*np.nonzero(near))) and len(i) == near.sum()
