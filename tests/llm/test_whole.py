@@ -83,3 +83,17 @@ def test_texts_of_one_id_are_apart(spark):
     c = [x for x in left if x[0] == 9]
     assert len(c) == 1 and c[0] in rows
     assert sorted((x for x in left if x[0] != 9), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[9]], key=str)
+
+
+def test_texts_full_of_spans(spark):
+    """Thousands of spans, long runs of digits and of hexadecimal digits in a text: all are found, in time that grows with the text."""
+    mails = " ".join(f"user{k}@example.org, 10.0.{k % 256}.{k // 256}" for k in range(4000))
+    digits, hexes = "7" * 60_000, hashlib.sha256(b"x").hexdigest() * 400
+    chain = " ".join("4111 1111 1111 1111, no" for _ in range(500))
+    docs = spark.createDataFrame([(1, mails, 0), (2, digits, 0), (3, hexes, 0), (4, chain, 0)], DOCS)
+    got = {r.doc_id: r.pii_spans for r in pii.find(docs, pii.fit(docs)).collect()}
+    kinds = lambda k, name: sum(s.kind == name and s.base for s in got[k])
+    assert (kinds(1, "email"), kinds(1, "ip"), kinds(2, "card"), kinds(4, "card")) == (4000, 4000, 0, 500)
+    assert [mails[s.start : s.end] for s in got[1][:2]] == ["user0@example.org", "user1@example.org"]
+    clean = {r.doc_id: r.text for r in corpus_pipeline.replace_personal_data(spark, docs, "").collect()}
+    assert clean[1] == " ".join(["<email>, <ip>"] * 4000) and clean[3] == hexes

@@ -1,10 +1,11 @@
 """Personal data by weak supervision.
 
-Patterns propose candidate spans. Three labelers vote on each (1 for, -1 against, 0 abstains): the strict form of the kind, a gazetteer
-and the words just before it. Expectation-maximisation over the counts of vote patterns, taken over all rows, estimates how reliable each labeler is on each kind;
-its posteriors are the soft labels of a logistic span classifier over votes and shape features, which decides on what the strict forms leave open.
+Patterns propose candidate spans. Five labelers vote on each (1 for, -1 against, 0 abstains): the strict form of the kind, a gazetteer, words just before it that announce the
+kind, words just before it that name something else, and words just after it. Expectation-maximisation over the counts of vote patterns, taken over all rows, estimates how reliable each
+labeler is on each kind; its posteriors are the soft labels of a logistic span classifier over votes and shape features, which decides on what the strict forms leave open.
 Spans of the four base kinds that pass their checks always stay.
 
+A text is scanned for a kind only if it holds what every span of that kind needs, which is looked for first and cheaply.
 DataFrame functions only: the driver sees counts of vote and feature patterns, at most FEATURE_SPACE rows whatever the input.
 """
 
@@ -20,25 +21,49 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 
 #: Candidate patterns. Possessive and guarded by what stands before, so that a scan is linear and needs no stack; they find what the plain
-#: forms find: nothing follows the repeated groups, and a match can only start where a run of its first class starts or a match has just ended.
+#: forms find: nothing follows the repeated groups, and a match can only start where a run of its first class starts or a match has just ended. Cards are
+#: looked for from 16 digits on, as shorter runs never pass their check.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "loose": r"(?<![\w+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\w-])",
     "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8,}+[\"']?",
 }
+#: What a text must hold to be scanned for a source: a string, then a pattern that begins with a rare character.
+NEEDS = {
+    "email": ("@", r"@[A-Za-z0-9-]"),
+    "ip": (".", r"[0-9]\.[0-9]++\.[0-9]"),
+    "card": ("", r"[0-9](?:[\x20-]?[0-9]){15}"),
+    "phone": ("+", r"\+[0-9]"),
+    "loose": ("", r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "secret": ("", r"[=:]\x20?[\"']?[A-Za-z0-9+/_-]{8}"),
+}
 #: A column of candidates -> its kind.
 SOURCES = {"email": "email", "ip": "ip", "card": "card", "phone": "phone", "loose": "phone", "secret": "secret"}
 
-#: Gazetteers: patterns over a span that speak for a kind.
+# Gazetteers; fixed values: generic and country domains, calling codes, first digits of card issuers, networks that aren't public, names of credentials.
+DOMAINS = """com org net edu gov mil int info biz name io dev app ai me tv co eu
+    ar at au be bg br ca ch cl cn cz de dk ee es fi fr gr hk hr hu ie il in is it jp kr lt lu lv mx nl no nz pe pl pt ro rs ru se si sk sg th tr tw ua uk us za""".split()
+CALLING = """1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98
+    212 213 216 218 234 254 351 352 353 354 355 356 357 358 359 370 371 372 380 381 385 386 420 421 852 886 961 962 965 966 971 972 974""".split()
+ISSUERS = "4 51 52 53 54 55 22 23 24 25 26 27 34 37 6011 65 35 36 38 62".split()
+PRIVATE_NETWORKS = ("0", "10", "127", "169.254", "192.168", "255", *[f"172.{k}" for k in range(16, 32)], *map(str, range(224, 255)))
+CREDENTIALS = "password passwd pwd secret token api".split()
+
+
+def _any(names) -> str:
+    return "(?:" + "|".join(n.replace(".", r"\.") for n in names) + ")"
+
+
+#: Patterns over a span, from the gazetteers, that speak for a kind.
 GAZETTEER = {
-    "email": r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0|127\.|255\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
-    "secret": r"(?i)^(?:password|passwd|secret|token|api)",
+    "email": rf"(?i)\.{_any(DOMAINS)}$",
+    "ip": rf"^(?!{_any(PRIVATE_NETWORKS)}\.)",
+    "card": rf"^{_any(ISSUERS)}",
+    "phone": rf"^(?:\+\x20?{_any(CALLING)}|\(?[2-9])",
+    "secret": rf"(?i)^{_any(CREDENTIALS)}",
 }
 #: Words that announce a kind within CONTEXT characters before a span.
 CUES = {
@@ -48,10 +73,26 @@ CUES = {
     "phone": r"(?i)phone|tel|call|fax|mobile|ruf",
     "secret": r"(?i)login|user|auth|key|pass",
 }
+#: Words there that name another thing with such a form.
+OTHERS = {
+    "email": r"(?i)package|import|decorator|version",
+    "ip": r"(?i)version|release|section|chapter|\bv\x20?$",
+    "card": r"(?i)isbn|order|invoice|tracking|serial|iban",
+    "phone": r"(?i)isbn|order|invoice|version|page|total",
+    "secret": r"(?i)example|sample|placeholder|dummy",
+}
+#: Words that speak for a kind within CONTEXT characters behind a span.
+BEHIND = {
+    "email": r"(?i)^[\x20,;)>]*(?:or|for|phone|tel|call|und|oder|ou|para)\b",
+    "ip": r"(?i)^[\x20,;)]*(?:port|on|host|:[0-9])",
+    "card": r"(?i)^[\x20,;)]*(?:exp|valid|cvv|cvc|until)",
+    "phone": r"(?i)^[\x20,;)]*(?:ext|fax|or|mobile|email|e-mail)\b",
+    "secret": r"(?i)^[\x20,;)]*(?:host|user|port|and|for)\b",
+}
 CONTEXT = 24
-LABELERS = ("strict", "gazetteer", "context")
+LABELERS = ("strict", "gazetteer", "context", "other", "behind")
 FEATURES = {"size": 4, "left": 3, "right": 3, "digits": 3}  # feature -> number of values
-FEATURE_SPACE = len(KINDS) * 3 ** len(LABELERS) * 4 * 3 * 3 * 3
+FEATURE_SPACE = len(KINDS) * 3 ** len(LABELERS) * 4 * 3 * 3 * 3  # far fewer occur: two labelers only speak for a kind, one only against
 
 
 def _luhn(text: Column) -> Column:
@@ -80,16 +121,33 @@ def _strict(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+BLOCK = 128  # items that are folded before their results are joined to those before
+
+
+def _fold(items: Column, state: Column, step, kind: str) -> Column:
+    """struct<s, all array<kind>>: the last state and what `step` (state, item) -> (state, array of results) gave, in order.
+
+    Results are gathered block by block, so a long array isn't copied for each of its items.
+    """
+    none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        s, found = step(acc["s"], x)
+        return F.struct(s.alias("s"), acc["all"].alias("all"), F.concat(acc["own"], found).alias("own"))
+
+    def block(acc: Column, own: Column) -> Column:
+        return F.aggregate(own, F.struct(acc["s"].alias("s"), acc["all"].alias("all"), none.alias("own")), one, lambda a: F.struct(a["s"].alias("s"), F.concat(a["all"], F.array(a["own"])).alias("all")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.aggregate(blocks, F.struct(state.alias("s"), nothing.alias("all")), block, lambda a: F.struct(a["s"].alias("s"), F.flatten(a["all"]).alias("all")))
+
+
 def _places(source: str) -> Column:
     """Starts of the matches, in code points, from what lies between them."""
     m, g = F.col(f"_m_{source}"), F.col(f"_g_{source}")
-    zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(g, i))
-        return F.struct((begin + F.length(F.get(m, i))).alias("at"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
-
-    return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["starts"])).otherwise(F.array().cast("array<int>"))
+    sizes = F.arrays_zip(F.transform(F.slice(g, F.lit(1), F.size(m)), F.length).alias("gap"), F.transform(m, F.length).alias("own"))
+    starts = _fold(sizes, F.lit(0).cast("int"), lambda at, x: (at + x["gap"] + x["own"], F.array(at + x["gap"])), "int")["all"]
+    return F.when(F.size(m) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
 def _side(c: Column) -> Column:
@@ -103,7 +161,7 @@ def _spans(source: str) -> Column:
 
     def span(x: Column, i: Column) -> Column:
         before, after, start = F.get(g, i), F.get(g, i + 1), F.get(s, i)
-        near = F.substring(before, -CONTEXT, CONTEXT)
+        near, behind = F.substring(before, -CONTEXT, CONTEXT), F.substring(after, 1, CONTEXT)
         ok = F.lit(False) if source == "loose" else _strict(kind, x)
         size, digits = F.length(x), F.length(F.regexp_replace(x, "[^0-9]", "")) / F.length(x)
         return F.struct(
@@ -114,6 +172,8 @@ def _spans(source: str) -> Column:
             (F.lit(0) if source == "loose" else F.when(ok, 1).otherwise(-1)).cast("int").alias("strict"),
             F.when(x.rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("gazetteer"),
             F.when(near.rlike(CUES[kind]), 1).otherwise(0).alias("context"),
+            F.when(near.rlike(OTHERS[kind]), -1).otherwise(0).alias("other"),
+            F.when(behind.rlike(BEHIND[kind]), 1).otherwise(0).alias("behind"),
             F.when(size < 10, 0).when(size < 16, 1).when(size < 32, 2).otherwise(3).alias("size"),
             _side(F.substring(before, -1, 1)).alias("left"),
             _side(F.substring(after, 1, 1)).alias("right"),
@@ -128,7 +188,8 @@ def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = df
     for source, p in PATTERNS.items():
-        guard = text.rlike(p)
+        needed, pattern = NEEDS[source]
+        guard = text.contains(needed) & text.rlike(pattern) if needed else text.rlike(pattern)
         found = found.withColumn(f"_m_{source}", F.when(guard, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")))
     found = found.withColumns({f"_g_{s}": F.when(F.size(f"_m_{s}") > 0, F.split(text, p, -1)) for s, p in PATTERNS.items()})
     found = found.withColumns({f"_s_{s}": _places(s) for s in PATTERNS})
@@ -188,12 +249,25 @@ def expectation_maximisation(kinds: np.ndarray, votes: np.ndarray, counts: np.nd
 
 def fit(df: DataFrame, text_col: str = "text", rounds: int = 200) -> SpanModel:
     """Estimate reliabilities and train the span classifier on all rows of `df`. Without any candidate the model keeps to the votes."""
-    names = [*LABELERS, *FEATURES]
-    one = candidates(df.select(text_col), text_col).select(F.explode("_candidates").alias("c"))
-    rows = one.groupBy(*[F.col(f"c.{n}").alias(n) for n in ("kind", *names)]).agg(F.count(F.lit(1)).alias("n")).collect()
-    values = {n: (-1, 0, 1) for n in LABELERS} | {n: tuple(range(k)) for n, k in FEATURES.items()} | {"kind": tuple(range(len(KINDS)))}
+    names = ["kind", *LABELERS, *FEATURES]
+    values: dict[str, tuple[int, ...]] = {n: (-1, 0, 1) for n in LABELERS} | {n: tuple(range(k)) for n, k in FEATURES.items()} | {"kind": tuple(range(len(KINDS)))}
+
+    def code(c: Column) -> Column:
+        """A candidate's kind, votes and features as one number, so that only numbers are exploded."""
+        out = F.lit(0)
+        for name in names:
+            out = out * len(values[name]) + c[name] - values[name][0]
+        return out
+
+    one = candidates(df.select(text_col), text_col).select(F.explode(F.transform("_candidates", code)).alias("code"))
+    rows = []
+    for r in sorted(one.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()):
+        left, row = r["code"], {"n": r["n"]}
+        for name in reversed(names):
+            left, digit = divmod(left, len(values[name]))
+            row[name] = values[name][digit]
+        rows.append(row)
     columns = [(n, v) for n, vs in values.items() for v in vs]
-    rows = sorted(rows, key=lambda r: tuple(r[n] for n in ("kind", *names)))
     kinds, counts = np.array([r["kind"] for r in rows], int), np.array([r["n"] for r in rows], float)
     votes = np.array([[r[n] for n in LABELERS] for r in rows], float).reshape(-1, len(LABELERS))
     soft, reliability = expectation_maximisation(kinds, votes, counts)
@@ -228,12 +302,11 @@ def find(df: DataFrame, model: SpanModel, threshold: float = 0.9, text_col: str
 def redact(text: Column, spans: Column) -> Column:
     """`text` with each span replaced by its kind in angle brackets; of overlapping spans the first one, and of those that start together the longest, counts."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
-    zero = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        skip = s["start"] < acc["at"]
-        return F.struct(F.when(skip, acc["at"]).otherwise(s["end"]).alias("at"), F.when(skip, acc["parts"]).otherwise(F.concat(acc["parts"], piece)).alias("parts"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.array(F.substr(text, at + 1, s["start"] - at), F.concat(F.lit("<"), s["kind"], F.lit(">")))
+        skip = s["start"] < at
+        return F.when(skip, at).otherwise(s["end"]), F.when(skip, F.array().cast("array<string>")).otherwise(piece)
 
-    cut = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, cut).otherwise(text)
+    joined = F.transform(F.array(_fold(ordered, F.lit(0).cast("int"), step, "string")), lambda r: F.concat(F.array_join(r["all"], ""), F.substr(text, r["s"] + 1)))
+    return F.when(F.size(spans) > 0, F.get(joined, 0)).otherwise(text)
