@@ -39,7 +39,7 @@ class WordTokenizer:
     #: The vocabulary's published split pattern; a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, end_id: int, cache: int = 600_000):
+    def __init__(self, path: str, end_id: int, cache: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
