@@ -40,11 +40,18 @@ SHAPES = {
 def test_components(spark, shape, few):
     edges = SHAPES[shape]
     rows = [*edges, *[(b, a) for a, b in edges[::3]], (None, 1), (2, None)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long"), few).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long"), few=few).collect()}
     assert got == expected(edges)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_values_of_nodes(spark, few):
+    values = spark.createDataFrame([(1, 70), (2, 30), (3, 30), (5, 9), (6, -1)], "node long, low long")
+    got = connected_components(spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7)], "a long, b long"), values, few).collect()
+    assert {r.node: r.component for r in got} == {1: 30, 2: 30, 3: 30, 4: 4, 5: 4, 7: 7}
+
+
 def test_long_chain(spark):
     edges = chain(100_000, 4)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), 5_000).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), few=5_000).collect()}
     assert got == dict.fromkeys(range(100_000), 0)

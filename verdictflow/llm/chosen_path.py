@@ -295,9 +295,9 @@ def jaccard_join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     pairs = likely.join(full, "rep").groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("rep", "own", "mult", "buckets", "set")).alias("items")).where(F.size("items") > 1)
     found = cut(pairs.mapInArrow(_verified(threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    least = classes.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("class_id"))
-    of = reps.select("k1", "k2", "rep", "low", "mult").join(links, "rep", "left").join(classes.join(least, "component").select("rep", "class_id"), "rep", "left")
+    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), reps.select(F.col("rep").alias("node"), "low"))
+    classes = classes.select(F.col("node").alias("rep"), F.col("component").alias("class_id"))
+    of = reps.select("k1", "k2", "rep", "low", "mult").join(links, "rep", "left").join(classes, "rep", "left")
     of = of.select("k1", "k2", F.col("low").alias("rep_id"), F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     joined = all_.select("doc_id", "k1", "k2", "n").join(of, ["k1", "k2"], "left")
     return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep_id", "doc_id").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -68,30 +68,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-ROUND_SCHEMA = "node long, next long"
-
-
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, next): the least node that each node of the edges (a, b) reaches, by union-find."""
+    """(node, component) of rows (a, b, low): edges between a and b, and nodes a with their values; the least value of what a node reaches, by union-find."""
+    above: dict[int, int] = {}
     low: dict[int, int] = {}
 
     def root(n: int) -> int:
-        while low[n] != n:
-            low[n] = low[low[n]]
-            n = low[n]
+        while above.setdefault(n, n) != n:
+            above[n] = above[above[n]]
+            n = above[n]
         return n
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = root(low.setdefault(a, a)), root(low.setdefault(b, b))
-            if a != b:
-                low[max(a, b)] = min(a, b)
-    nodes = list(low)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], names=["node", "next"])
+        for a, b, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if value is None:
+                above[root(a)] = root(b)
+            else:
+                low[a] = value
+    least: dict[int, int] = {}
+    for n, value in low.items():
+        r = root(n)
+        least[r] = min(value, least.get(r, value))
+    yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.int64()), pa.array([least[root(n)] for n in low], pa.int64())], names=["node", "component"])
 
 
-def connected_components(edges: DataFrame, few: int = 200_000) -> DataFrame:
-    """(node, component): the smallest node that each node of `edges` (a, b) reaches. Nodes are integers.
+def connected_components(edges: DataFrame, values: DataFrame | None = None, few: int = 200_000) -> DataFrame:
+    """(node, component): the smallest value among the nodes that each node of `edges` (a, b) reaches. `values` (node, low) names them; without, a node is its own value. All are integers.
 
     A round contracts: every node goes over to that of its neighbours and itself which has the least hash of the round, so edges stay edges or vanish, and components stay apart.
     As the hashes are new in each round, a part of the nodes vanishes whatever the shape, so chains settle in rounds that grow with the logarithm of their length; there is no
@@ -100,7 +102,8 @@ def connected_components(edges: DataFrame, few: int = 200_000) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b"))).distinct()
-    level = cut(nodes.select("node", F.col("node").alias("low")))  # low: the least first node that became this one
+    known = nodes.join(values.select("node", "low"), "node", "left") if values is not None else nodes.withColumn("low", F.col("node"))
+    level = cut(known.select("node", F.coalesce("low", "node").alias("low")))  # low: the least value of the first nodes that became this one
     left, moves = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), []
     while (n := left.count()) > few:
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("node"))
@@ -111,10 +114,11 @@ def connected_components(edges: DataFrame, few: int = 200_000) -> DataFrame:
         moved = left.join(to("a"), "a").join(to("b"), "b").where("a_ != b_")
         left = cut(moved.select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b")).distinct())
     if n:
-        end = left.repartition(1).mapInArrow(_joined, ROUND_SCHEMA)
-        level = cut(level.join(end, "node", "left").withColumn("root", F.coalesce("next", "node")))
-        roots = level.groupBy("root").agg(F.min("low").alias("component"))
-        level = cut(level.join(roots, "root").select("node", "component"))
+        none = F.lit(None).cast("long")
+        ends = left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "node")
+        rows = left.select("a", "b", none.alias("low")).union(level.join(ends, "node", "left_semi").select("node", none, "low"))
+        level = level.join(rows.repartition(1).mapInArrow(_joined, "node long, component long"), "node", "left")
+        level = cut(level.select("node", F.coalesce("component", "low").alias("component")))
     else:
         level = level.withColumnRenamed("low", "component")
     for move in reversed(moves):

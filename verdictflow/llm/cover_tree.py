@@ -278,9 +278,9 @@ def near_pairs(df: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vect
     met = near.join(one, "block").join(two, "block_").select("block", "block_", *parts, *[f"{c}_" for c in parts])
     found = cut(met.mapInArrow(_meet(cosine, single), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    least = classes.join(reps.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("component_id"))
-    of = reps.select("label", "dim", "k1", "k2", "rep", "low", "mult").join(links, "rep", "left").join(classes.join(least, "component").select("rep", "component_id"), "rep", "left")
+    classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), reps.select(F.col("rep").alias("node"), "low"))
+    classes = classes.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    of = reps.select("label", "dim", "k1", "k2", "rep", "low", "mult").join(links, "rep", "left").join(classes, "rep", "left")
     of = of.select("label", "dim", "k1", "k2", F.coalesce("component_id", "low").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
     joined = keyed.select("vec_id", "label", "dim", "k1", "k2").join(of, ["label", "dim", "k1", "k2"], "left")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
