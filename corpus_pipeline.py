@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from verdictflow.llm import packing, pii, toxicity
 from verdictflow.llm.chosen_path import jaccard_join
-from verdictflow.llm.common import cut, ensure_checkpoint_dir
+from verdictflow.llm.common import cut, ensure_checkpoint_dir, remove
 
+SCORE, SPANS = "_pipeline_score", "_pipeline_spans"  # the stages' own columns; no document has them
 TOXIC = 0.7  # documents of this score or more are rejected
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below TOXIC; texts without words stay."""
+    """Documents whose toxicity score is below TOXIC; null texts and those without words stay, and so do repeated rows."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=True).where(F.col("score") < TOXIC).select(docs.columns)
+    scored = toxicity.score(docs, model, keep=True, score_col=SCORE, spans_col=SPANS)
+    return scored.where(F.col(SCORE) < TOXIC).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +42,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = joined.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").cast("long").alias("_node")).distinct()
     kept = numbers.join(kept, "_node", "left_semi").drop("_node")
     named = named.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()).select(docs.columns))
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every span found is replaced by its kind; n_chars is that of the new text."""
-    found = pii.find(docs, pii.fit(docs))
-    text = F.when(F.col("text").isNotNull(), pii.redact(F.col("text"), F.col("pii_spans")))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Every span found is replaced by its kind, in texts of any length; n_chars is that of the new text. All rows stay; null texts stay null."""
+    found = pii.find(docs, pii.fit(docs), spans_col=SPANS)
+    text = F.when(F.col("text").isNotNull(), pii.redact(F.col("text"), F.col(SPANS)))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; null and empty texts are the end id alone, and repeated rows are documents of their own."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -67,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what a stage returns is written to the shared checkpoint folder and read again as the next one's input."""
+    """All stages over `documents`; what a stage returns is written to the shared checkpoint folder and read again as the next one's input. What a later stage has taken over is removed."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -76,4 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -3,13 +3,14 @@
 The pieces that are new in a batch are put into buckets by length, one padded matrix of token ids per bucket. In each round every row
 merges its leftmost pair of least rank; rows without such a pair are done and leave the matrix, and as every other row loses just
 one token, the matrix shrinks by one column (compaction). Ranks of pairs come from an open-addressing hash table held in numpy arrays.
-Only the two pairs beside a merge are looked up anew.
+Only the two pairs beside a merge are looked up anew. Pieces of more than LONG bytes, which hardly occur, go through a heap of pairs with the same result.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import TwoGenerationCache
 from .prefix_counts import PATTERN, compiled
 
 NONE = np.int64(1 << 40)  # the rank of a pair that isn't merged
-LONG = 256  # bytes; longer pieces are merged in a row of their own, with lazy deletion
+LONG = 256  # bytes; a longer piece would make its matrix quadratic, and is merged through a heap
 ROWS = 8192  # of a matrix at most
 LONGEST_CACHED = 64
 DOCS = 256  # texts whose new pieces are encoded together
@@ -132,36 +133,40 @@ class ByteBpe:
                 tok, rank = tok[:, :most].copy(), rank[:, : most - 1].copy()
         return out
 
+    def rank_of(self, left: int, right: int) -> int:
+        """find() for one pair."""
+        key = left << 20 | right
+        at = (key * int(self.table.MIX) & (1 << 64) - 1) >> int(self.table.shift)
+        keys = self.table.keys
+        while (own := keys[at]) != key:
+            if own == -1:
+                return int(NONE)
+            at = at + 1 & self.table.mask
+        return int(self.table.values[at])
+
     def single(self, piece: bytes) -> np.ndarray:
-        """One long piece: dead places keep the rank NONE until half of the row is dead, then they are dropped."""
+        """One piece that is longer than any matrix: its pairs stand in a heap by rank and place, so its time is that of a sort."""
         tok = self.bytes_ids[np.frombuffer(piece, np.uint8)]
-        while True:
-            n = len(tok)
-            rank = np.full(n, NONE, np.int64)
-            rank[:-1] = self.table.find(tok[:-1], tok[1:])
-            after, before, alive, dead = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool), 0
-            ended = False
-            while dead * 2 <= n:
-                at = int(rank.argmin())
-                if rank[at] == NONE:
-                    ended = True
-                    break
-                gone = int(after[at])
-                tok[at], alive[gone], rank[gone] = rank[at], False, NONE
-                after[at] = after[gone]
-                if after[gone] < n:
-                    before[after[gone]] = at
-                dead += 1
-                left, right = int(before[at]), int(after[at])
-                a = np.array([tok[left] if left >= 0 else -1, tok[at]])
-                b = np.array([tok[at] if left >= 0 else -1, tok[right] if right < n else -1])
-                found = self.table.find(a, b)
-                if left >= 0:
-                    rank[left] = found[0]
-                rank[at] = found[1]
-            tok = tok[alive]
-            if ended:
-                return tok
+        n, none = len(tok), int(NONE)
+        rank = [*self.table.find(tok[:-1], tok[1:]).tolist(), none]
+        tok, after, before, gone = tok.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
+        heap = [r << 40 | k for k, r in enumerate(rank) if r != none]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            r, at = top >> 40, top & (1 << 40) - 1
+            if gone[at] or rank[at] != r:  # merged since, or another pair now
+                continue
+            right = after[at]
+            tok[at], gone[right], after[at] = r, 1, after[right]
+            if after[at] < n:
+                before[after[at]] = at
+            for k in (before[at], at):
+                if k >= 0:
+                    rank[k] = self.rank_of(tok[k], tok[after[k]]) if after[k] < n else none
+                    if rank[k] != none:
+                        heapq.heappush(heap, rank[k] << 40 | k)
+        return np.array([t for t, g in zip(tok, gone) if not g])
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""

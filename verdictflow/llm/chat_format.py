@@ -1,6 +1,6 @@
 """Chat formatting from a declarative template, with a finite-state machine over roles.
 
-A template names the mark of each role, which roles carry loss, and the machine's transitions. Every turn becomes three text segments (mark, escaped text,
+A template names the mark of each role, which roles carry loss, the machine's transitions and the control strings. Every turn becomes three text segments (mark, escaped text,
 end) with a loss flag each. Control strings inside texts are escaped by a backslash within them, so the output can be read back.
 A run of turns acts on the machine as a function from states to states; such functions are built per chunk of a conversation and composed in order,
 so chunks of one long conversation are worked on apart. DataFrame functions only.
@@ -34,6 +34,14 @@ class Template:
     )
     opening: str = "### "
     closing: str = "</turn>\n"
+    controls: tuple[str, ...] = ("##", "</turn>")  # what must not stand in a text as it is
+
+    def __post_init__(self):
+        alone = [c for c in self.controls if len(c) > 1 and c[0] not in c[1:] and c in self.closing]
+        if not alone or not any(c in self.opening for c in self.controls) or any("\\" in c or len(c) < 2 for c in self.controls):
+            raise ValueError("controls have two characters or more and no backslash; one is in the opening, and one, whose first character comes once, in the closing")
+        if any(":" in label or "\\" in label or label.startswith("?") for label in self.labels.values()) or len(set(self.labels.values())) < len(self.labels):
+            raise ValueError("labels differ, hold no colon or backslash, and don't begin with a question mark")
 
     @property
     def states(self) -> list[str]:
@@ -47,10 +55,11 @@ class Template:
         return sum(rows, []) + [bad] * (len(roles) + 1)
 
 
-def escape(text: Column) -> Column:
-    """No control string of the default template is left inside; each escape is a backslash before the character it stands for."""
-    for plain, escaped in (("\\", "\\\\"), ("##", "#\\#"), ("</turn>", "<\\/turn>")):
-        text = F.replace(text, F.lit(plain), F.lit(escaped))
+def escape(text: Column, t: Template) -> Column:
+    """No control string of the template is left whole inside; each escape is a backslash before the character it stands for."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c in t.controls:
+        text = F.replace(text, F.lit(c), F.lit(c[0] + "\\" + c[1:]))
     return text
 
 
@@ -60,7 +69,7 @@ def unescape(text: Column) -> Column:
 
 def mark(role: Column, t: Template) -> Column:
     """What stands before a turn's text. A role that the template doesn't name is shown escaped after a question mark."""
-    shown = F.concat(F.lit("?"), F.replace(escape(role), F.lit(":"), F.lit("\\:")))
+    shown = F.concat(F.lit("?"), F.replace(escape(role, t), F.lit(":"), F.lit("\\:")))
     for name, label in t.labels.items():
         shown = F.when(role == name, F.lit(label)).otherwise(shown)
     return F.concat(F.lit(t.opening), shown, F.lit(": "))
@@ -71,7 +80,7 @@ def format_conversations(df: DataFrame, template: Template | None = None, conv_c
 
     Turns are ordered by turn number; those that tie by role and text, and repeated rows all stay. Null texts and roles are empty strings; null turn
     numbers come first; rows of a null conv_id form one conversation. An empty role is unknown, and an unknown role makes its conversation invalid, as does a turn out of order, but all
-    its turns are still formatted. Other columns are not read. An empty table gives no rows.
+    its turns are still formatted. Other columns are not read. An empty table gives no rows. A conversation ends as one row, so it must fit into one.
     """
     t = template or Template()
     roles = len(t.labels) + 1
@@ -92,7 +101,7 @@ def format_conversations(df: DataFrame, template: Template | None = None, conv_c
     def segments(x: Column) -> Column:
         part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
         no = F.lit(False)
-        return F.array(part(mark(x["role"], t), no), part(escape(x["text"]), x["role"].isin(*t.loss)), part(F.lit(t.closing), no))
+        return F.array(part(mark(x["role"], t), no), part(escape(x["text"], t), x["role"].isin(*t.loss)), part(F.lit(t.closing), no))
 
     chunks = rows.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("turns")).select(
         "conv_id",
@@ -124,7 +133,8 @@ def read_turns(text: Column, template: Template | None = None) -> Column:
 
     def turn(p: Column) -> Column:
         body = F.substr(p, F.lit(len(t.opening) + 1))
-        label = F.substring_index(body, ": ", 1)
+        hidden = F.replace(F.replace(body, F.lit("\\\\"), F.lit("--")), F.lit("\\:"), F.lit("--"))  # a role's own colons
+        label = F.substr(body, F.lit(1), F.instr(hidden, ":") - 1)
         role = unescape(F.substr(label, F.lit(2)))
         for name, shown in t.labels.items():
             role = F.when(label == shown, F.lit(name)).otherwise(role)

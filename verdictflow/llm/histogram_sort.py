@@ -105,16 +105,16 @@ def histogram_shards(df: DataFrame, key_cols: list[str], tie_cols: list[str], si
 
     Rows of equal `key_cols` (nulls are equal to each other) stay together unless they exceed the tolerance, a part of a shard's mean size. Rows that
     also agree in `tie_cols` are told apart by their place in the input. Null sizes count as none. An empty table stays empty. Columns of `df` named shard
-    or slot give way to the results. Slots are numbered in slices of about `rows_a_slice` rows, so no shard passes through one task.
+    or slot give way to the results; all others stay, but for one named _place. Slots are numbered in slices of about `rows_a_slice` rows, so no shard passes through one task.
     """
-    clash = [c for c in df.columns if c in ("shard", "slot", "key_hi", "key_lo", "part")]
-    keyed = df.withColumns({"_place": F.monotonically_increasing_id()}).select(
-        *[F.col(f"`{c}`") for c in df.columns if c not in clash],
-        F.xxhash64(*key_cols).alias("key_hi"),
-        F.xxhash64(*tie_cols, "_place").alias("key_lo"),
+    keyed = cut(
+        df.withColumn("_place", F.monotonically_increasing_id()).select(
+            F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),  # so that no column of `df` can meet one of these
+            F.xxhash64(*key_cols).alias("key_hi"),
+            F.xxhash64(*tie_cols, "_place").alias("key_lo"),
+        )
     )
-    keyed = cut(keyed)
-    edges = splitters(keyed.select("key_hi", "key_lo", F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size")), shards, tolerance)
+    edges = splitters(keyed.select("key_hi", "key_lo", F.coalesce(F.col(f"row.`{size_col}`"), F.lit(0)).cast("long").alias("size")), shards, tolerance)
     shard = sum((_at_least(e).cast("int") for e in edges), F.lit(0))
     slices = max(1, min(4096, -(-keyed.count() // (rows_a_slice * shards))) * 8)
     dealt = keyed.select("*", shard.alias("shard"), F.pmod(F.col("key_lo"), F.lit(slices)).cast("int").alias("part"))
@@ -125,4 +125,4 @@ def histogram_shards(df: DataFrame, key_cols: list[str], tie_cols: list[str], si
     inner = Window.partitionBy("shard", "part").orderBy(F.col("key_hi"), F.col("key_lo"))
     numbered = dealt.withColumn("_n", F.row_number().over(inner) - 1)
     placed = numbered.join(F.broadcast(offsets) if shards * slices <= 10_000 else offsets, ["shard", "part"])
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns if c not in clash], "shard", (F.col("_n") + F.col("offset")).cast("long").alias("slot"))
+    return placed.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")], "shard", (F.col("_n") + F.col("offset")).cast("long").alias("slot"))

@@ -288,15 +288,15 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = 200) -> SpanModel:
     return SpanModel(reliability, float(w[-1]), weights)
 
 
-def find(df: DataFrame, model: SpanModel, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
-    """`df` with `pii_spans`: array<struct<kind string, start int, end int, base boolean, probability double>>, by kind as listed, then start.
+def find(df: DataFrame, model: SpanModel, threshold: float = 0.9, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
+    """`df` with `spans_col`: array<struct<kind string, start int, end int, base boolean, probability double>>, by kind as listed, then start.
 
     Offsets are code points, ends exclusive. Null texts have no spans. Base spans stay whatever their probability; other candidates need `threshold`.
-    Rows may repeat; a column of `df` named pii_spans gives way to the result; names that begin with an underscore and a letter and underscore are used within.
+    Rows may repeat; a column of `df` named `spans_col` gives way to the result; names that begin with an underscore and a letter and underscore are used within.
     """
     kept = F.filter(F.transform("_candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), model.probability(c).alias("probability"))), lambda c: c["base"] | (c["probability"] >= threshold))
     named = F.transform(F.sort_array(kept), lambda c: F.struct(F.get(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["probability"].alias("probability")))
-    return candidates(df, text_col).withColumn("pii_spans", named).drop("_candidates")
+    return candidates(df, text_col).withColumn(spans_col, named).drop("_candidates")
 
 
 def redact(text: Column, spans: Column) -> Column:

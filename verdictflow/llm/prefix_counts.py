@@ -53,11 +53,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+WIDE = 0x80
+
+
 def steps(counts: list[int]) -> bytes:
-    """Differences of neighbours, a signed byte each."""
+    """Differences of neighbours, a signed byte each; one that doesn't fit is the byte WIDE and four bytes."""
     found = [b - a for a, b in zip(counts, counts[1:])]
-    if found and (max(found) > 127 or min(found) < -128):
-        raise OverflowError("a prefix count jumps by more than a byte holds")
+    if found and (max(found) > 127 or min(found) < -127):
+        return b"".join([bytes([x & 255]) if -127 <= x <= 127 else bytes([WIDE]) + x.to_bytes(4, "little", signed=True) for x in found])
     return bytes([x & 255 for x in found])
 
 
@@ -201,7 +204,14 @@ class PrefixCounter:
 
 def counts(deltas: bytes) -> np.ndarray:
     """Token count at prefixes of 0, 1, 2 .. characters."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)])
+    if WIDE not in deltas:
+        return np.concatenate([[0], np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)])
+    found, at = [0], 0
+    while at < len(deltas):
+        wide = deltas[at] == WIDE
+        found.append(int.from_bytes(deltas[at + wide : at + (5 if wide else 1)], "little", signed=True))
+        at += 5 if wide else 1
+    return np.cumsum(found)
 
 
 def longest_within(deltas: bytes, budget: int) -> int:

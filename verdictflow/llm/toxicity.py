@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TwoGenerationCache
@@ -25,6 +25,7 @@ from .common import TwoGenerationCache
 BUCKETS = 1 << 16  # of hashed features
 #: Bounds of the labelled sample: this many toxic and clean documents at most, those of least hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3500
+SAMPLE_BYTES = 48 << 20  # of the texts of each class
 FIT_CLEAN = 800  # clean documents of the sample that the field itself is fitted to; all of them count for signs and calibration
 SURE = 20.0  # likelihood ratio from which a word beginning counts as a sign of toxic documents
 COVERS = 12.0  # the same, for documents that no other sign explains
@@ -264,17 +265,21 @@ def marginals_of(model: Crf, emissions: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Crf:
-    """Train on labelled documents that aren't held out: at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean ones, those of least hash.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, most_bytes: int = SAMPLE_BYTES) -> Crf:
+    """Train on labelled documents that aren't held out: at most `toxic` toxic and `clean` clean ones, those of least hash, and of each class those that together have `most_bytes` at most, or the first alone.
 
-    Labels other than 0 and 1 and null ids are not used; of repeated labels of a document the higher one counts. Two passes: ids of the sample,
-    then their texts, by a broadcast of at most SAMPLE_TOXIC + SAMPLE_CLEAN ids.
+    Labels other than 0 and 1 and null ids are not used; of repeated labels of a document the higher one counts, of texts that share an id the least. Two passes: ids of the sample,
+    then their texts, by a broadcast of at most toxic + clean ids.
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).where(F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     own = own.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    picked = [own.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    picked = [own.where(F.col("_toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, toxic), (0, clean))]
     sample = picked[0].unionAll(picked[1])
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).withColumn("_hash", F.xxhash64("_id")).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = texts.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).withColumn("_hash", F.xxhash64("_id"))
+    before = Window.partitionBy("_toxic").orderBy("_hash", "_id")  # of at most toxic + clean rows
+    rows = rows.withColumn("_upto", F.sum(F.octet_length("_text")).over(before)).withColumn("_first", F.row_number().over(before) == 1)
+    rows = rows.where((F.col("_upto") <= most_bytes) | F.col("_first")).drop("_upto", "_first").collect()
     rows.sort(key=lambda r: (r["_hash"], r["_id"]))  # train() fits the field to the first clean ones
     return train([r["_text"] for r in rows], [r["_toxic"] for r in rows])
 
@@ -295,15 +300,16 @@ class Tagger:
 _TAGGERS: dict[str, Tagger] = {}
 
 
-def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score", spans_col: str = "offending") -> DataFrame:
     """(id, score, offending array<struct<start, end, probability>>) for each row; with `keep`, behind all columns of `df`.
 
     Null and empty texts are scored as texts without tokens. Offsets are code points, ends exclusive. Every text is scored whole, and memory holds 2048 texts at a time.
-    With `keep`, columns of `df` named score or offending give way to the results.
+    The results are named `score_col` and `spans_col`; with `keep`, columns of `df` that have these names give way to them.
     """
-    names = [c for c in df.columns if c not in ("score", "offending")] if keep else [id_col]
+    names = [c for c in df.columns if c not in (score_col, spans_col)] if keep else [id_col]
     extra = text_col not in names
-    source = df.select(*[F.col(f"`{c}`") for c in names], *[F.col(text_col)] * extra)
+    plain = [f"c{k}" for k in range(len(names))]  # a batch function takes no names with dots
+    source = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], *[F.col(text_col).alias("text")] * extra)
     at_text = len(names) if extra else names.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
     key = str(id(sent)) + str(model.calibration)
@@ -323,7 +329,7 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
                 for t, m in zip(texts, found):
                     hits = set(np.flatnonzero(m >= tagger.model.threshold).tolist())
                     spans.append([{"start": w.start(), "end": w.end(), "probability": float(m[k])} for k, w in enumerate(_WORD.finditer(t)) if k in hits] if hits else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))], names=[*names, "score", "offending"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))], names=[*plain, "score", "offending"])
 
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], "score double, offending array<struct<start: long, end: long, probability: double>>"])
-    return source.mapInArrow(run, schema)
+    schema = ", ".join([*[f"{p} {df.schema[c].dataType.simpleString()}" for c, p in zip(names, plain)], "score double, offending array<struct<start: long, end: long, probability: double>>"])
+    return source.mapInArrow(run, schema).toDF(*names, score_col, spans_col)

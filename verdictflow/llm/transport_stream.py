@@ -109,7 +109,7 @@ class Stream:
 
 
 def demux(media: bytes | None) -> Stream:
-    """Parse a transport stream; errors are counted, and what is whole is still read."""
+    """Parse a transport stream; errors are counted, and what is whole is still read: after a lost sync byte from the next packet on that can be told."""
     s, media = Stream(), media or b""
     last: dict[int, int] = {}
     sections: dict[int, bytes] = {}
@@ -162,13 +162,22 @@ def demux(media: bytes | None) -> Stream:
                     s.streams[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
                     i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0x0FFF)
 
-    for k, at in enumerate(range(0, len(media) - PACKET + 1, PACKET)):
-        s.packets += 1
-        if media[at] != SYNC:
+    at = -PACKET
+    while (at := at + PACKET) + PACKET <= len(media):
+        if media[at] != SYNC:  # go on where two sync bytes stand a packet apart, or one the last packet's length from the end
             s.sync_errors += 1
-            continue
+            at = media.find(SYNC, at)
+            while at >= 0 and at + PACKET < len(media) and media[at + PACKET] != SYNC:
+                at = media.find(SYNC, at + 1)
+            if at < 0 or at + PACKET > len(media):
+                break
+        k = s.packets
+        s.packets += 1
         a, low, control = media[at + 1], media[at + 2], media[at + 3]
         pid, begin, rap, jump = (a & 0x1F) << 8 | low, at + 4, False, False
+        if a & 0x80:  # the sender knows that it is damaged
+            s.packet_errors += 1
+            continue
         if pid == NULL_PID or not control & 0x10 and not control & 0x20:
             continue
         if control & 0x20:
@@ -188,6 +197,10 @@ def demux(media: bytes | None) -> Stream:
                 s.packet_errors += 1
                 del open_[pid]
         body = media[begin : at + PACKET]
+        if control & 0xC0:  # scrambled, so nothing that this reader can put together
+            s.packet_errors += 1
+            open_.pop(pid, None)
+            continue
         if pid == PAT_PID or pid in s.programs.values():
             if body:
                 tables(pid, bool(a & 0x40), body)
@@ -197,7 +210,7 @@ def demux(media: bytes | None) -> Stream:
                 open_[pid] = [k, rap, [body]]
             elif pid in open_:
                 open_[pid][2].append(body)
-    if len(media) % PACKET:
+    if at < 0 or at != len(media):
         s.sync_errors += 1
     for pid in list(open_):
         close(pid)
@@ -235,6 +248,7 @@ def decode(df: DataFrame, media_col: str = "media") -> DataFrame:
     own = ["payload", *COUNTS, "units"]
     kept = [f for f in df.schema if f.name not in own]
     names = [f.name for f in kept]
+    plain = [f"c{k}" for k in range(len(names))]  # a batch function takes no names with dots
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +257,7 @@ def decode(df: DataFrame, media_col: str = "media") -> DataFrame:
                 read = [demux(m) for m in part.column(names.index(media_col)).to_pylist()]
                 counts = [pa.array([v if isinstance(v := getattr(s, c), int) else len(v) for s in read], pa.int64()) for c in COUNTS]
                 units = pa.array([[dict(zip(("pts", "packet", "offset", "bytes", "random_access"), u)) for u in s.units] for s in read], pa.list_(_UNIT))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.payload for s in read], pa.binary()), *counts, units], names=[*names, *own])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.payload for s in read], pa.binary()), *counts, units], names=[*plain, *own])
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "payload binary", *[f"{c} long" for c in COUNTS], "units array<struct<pts: long, packet: long, offset: long, bytes: long, random_access: boolean>>"])
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    schema = ", ".join([*[f"{p} {f.dataType.simpleString()}" for f, p in zip(kept, plain)], "payload binary", *[f"{c} long" for c in COUNTS], "units array<struct<pts: long, packet: long, offset: long, bytes: long, random_access: boolean>>"])
+    return df.select(*[F.col(f"`{n}`").alias(p) for n, p in zip(names, plain)]).mapInArrow(run, schema).toDF(*names, *own)
