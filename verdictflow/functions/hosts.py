@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 from urllib.parse import unquote_to_bytes
 
-from .patterns import compiled
-
 #: Schemes with an authority and a default port; fixed values.
 SPECIAL = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
-_PARTS = compiled(r"^([a-z][a-z0-9+.-]*):[/\\]*([^/\\?#]*)")
-_OPAQUE = compiled(r"^([a-z][a-z0-9+.-]*)://([^/?#]*)")
+_PARTS = re.compile(r"([a-z][a-z0-9+.-]*):[/\\]*([^/\\?#]*)", re.IGNORECASE | re.ASCII)
+_OPAQUE = re.compile(r"([a-z][a-z0-9+.-]*)://([^/?#]*)", re.IGNORECASE | re.ASCII)
 _FORBIDDEN = frozenset("\0\t\n\r #/:<>?@[\\]^|%\x7f") | frozenset(map(chr, range(32)))
 
 
@@ -107,18 +106,27 @@ def _ipv6(text: str) -> str:
     return ":".join(parts) if at < 0 else ":".join(parts[:at]) + "::" + ":".join(parts[at + best :])
 
 
-_MAPPED = compiled(r"^::(?:ffff:)?([0-9a-f]{1,4}):([0-9a-f]{1,4})$")
-_DOTTED = compiled(r"^::(?:ffff:)?(\d{1,3}(?:\.\d{1,3}){3})$")
-
-
 def normalize_host(host: str) -> str:
-    """IPv4 addresses inside IPv6 ones as dotted IPv4; unspecified and loopback IPv6 addresses in one form."""
+    """IPv4 addresses inside IPv6 ones as dotted IPv4, the unspecified one among them; the loopback address and all other hosts as they are, without brackets, in lower case."""
     bare = host.removeprefix("[").removesuffix("]").lower()
-    if bare in ("::", "0:0:0:0:0:0:0:0"):
-        return "0.0.0.0"
-    if bare in ("::1", "0:0:0:0:0:0:0:1"):
+    try:
+        address = ipaddress.IPv6Address(bare)
+    except ValueError:
+        return bare
+    if address.is_loopback:
         return "::1"
-    if m := _MAPPED.match(bare):
-        a, b = int(m[1], 16), int(m[2], 16)
-        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
-    return m[1] if (m := _DOTTED.match(bare)) else bare
+    return str(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF)) if int(address) >> 32 in (0, 0xFFFF) else bare
+
+
+def _octets(host: str) -> list[int] | None:
+    """The parts of a dotted host of four numbers."""
+    parts = host.split(".")
+    return [int(p) for p in parts] if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 9 for p in parts) else None
+
+
+def is_loopback(host: str) -> bool:
+    return host.lower() in ("localhost", "::1") or (n := _octets(host)) is not None and (n[0] == 127 or not any(n))
+
+
+def is_private(host: str) -> bool:
+    return (n := _octets(host)) is not None and (n[0] == 10 or n[:2] == [192, 168] or n[0] == 172 and 16 <= n[1] <= 31)

@@ -1,4 +1,4 @@
-"""Patterns with one meaning everywhere: ASCII words and digits, the white space of the web platform, and an end that is the end of the text."""
+"""White space with one meaning everywhere, that of the web platform."""
 
 from __future__ import annotations
 
@@ -10,39 +10,6 @@ _SPACE_RUN = re.compile(f"[{SPACE}]+")
 _EDGES = re.compile(f"^[{SPACE}]+|[{SPACE}]+\\Z")
 
 
-def expand(pattern: str) -> str:
-    """Write out the white space classes of `pattern`, inside and outside brackets, and let $ mean the end."""
-    out, k, inside = [], 0, False
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\" and k + 1 < len(pattern):
-            two = pattern[k : k + 2]
-            if two == "\\s":
-                out.append(SPACE if inside else f"[{SPACE}]")
-            elif two == "\\S" and not inside:
-                out.append(f"[^{SPACE}]")
-            else:
-                out.append(two)
-            k += 2
-            continue
-        if c == "[" and not inside:
-            inside = True
-        elif c == "]" and inside:
-            inside = False
-        out.append("\\Z" if c == "$" and not inside else c)
-        k += 1
-    return "".join(out)
-
-
-def compiled(pattern: str, ignore_case: bool = True) -> re.Pattern[str]:
-    return re.compile(expand(pattern), re.ASCII | (re.IGNORECASE if ignore_case else 0))
-
-
-def any_word(*names: str) -> str:
-    """Any of `names`, as a whole word."""
-    return r"\b(?:" + "|".join(names) + r")\b"
-
-
 def trim(text: str) -> str:
     return _EDGES.sub("", text)
 

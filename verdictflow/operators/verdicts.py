@@ -13,9 +13,9 @@ from ..functions.evaluate import evaluate
 from ..schema import MANDATE, SEVERITIES, VIOLATIONS
 
 _FIELDS = ("signature", "type", "severity", "description", "evidence", "remediation")
-FOUND = f"struct<violations: {VIOLATIONS}, is_write: boolean, is_network: boolean, targets: array<string>, risk_tolerance: string, failed: boolean>"
+FOUND = f"struct<violations: {VIOLATIONS}, is_write: boolean, is_network: boolean, targets: array<string>, risk_tolerance: string, coverage_gap: boolean, failed: boolean>"
 _VIOLATION = pa.struct([(f, pa.string()) for f in _FIELDS])
-_FOUND = pa.struct([("violations", pa.list_(_VIOLATION)), ("is_write", pa.bool_()), ("is_network", pa.bool_()), ("targets", pa.list_(pa.string())), ("risk_tolerance", pa.string()), ("failed", pa.bool_())])
+_FOUND = pa.struct([("violations", pa.list_(_VIOLATION)), ("is_write", pa.bool_()), ("is_network", pa.bool_()), ("targets", pa.list_(pa.string())), ("risk_tolerance", pa.string()), ("coverage_gap", pa.bool_()), ("failed", pa.bool_())])
 
 
 def _judged(tool, args, mandate, override, secret, cwd) -> dict:
@@ -25,7 +25,7 @@ def _judged(tool, args, mandate, override, secret, cwd) -> dict:
         return got | {"violations": [dict(zip(_FIELDS, v)) for v in got["violations"]], "failed": False}
     except Exception as error:  # fail closed
         wrong = ("S3", "EVALUATOR_INTERNAL_ERROR", "CRITICAL", "The call could not be evaluated", type(error).__name__, "Report the call.")
-        return {"violations": [dict(zip(_FIELDS, wrong))], "is_write": False, "is_network": False, "targets": [], "risk_tolerance": "low", "failed": True}
+        return {"violations": [dict(zip(_FIELDS, wrong))], "is_write": False, "is_network": False, "targets": [], "risk_tolerance": "low", "coverage_gap": False, "failed": True}
 
 
 def severity(violations: Column) -> Column:
@@ -67,7 +67,7 @@ def assess(calls: DataFrame, secret: str | None = None, cwd: str = "/workspace")
     override = F.col("override").cast("string") if "override" in calls.columns else F.lit(None).cast("string")
     found = calls.withColumn("_f", judge(F.col("tool_name"), F.col("raw_args"), own, override))
     level, n = severity(F.col("_f.violations")), F.size("_f.violations")
-    kept = [c for c in calls.columns if c not in ("violations", "is_write", "is_network", "targets", "severity", "risk_score", "verdict", "passed", "explanation")]
+    kept = [c for c in calls.columns if c not in ("violations", "is_write", "is_network", "targets", "coverage_gap", "risk_tolerance", "severity", "risk_score", "verdict", "passed", "explanation")]
     said = found.select(*kept, "_f", level.alias("severity"), F.when(F.col("_f.failed"), 1.0).otherwise(risk_score(level, n)).alias("risk_score"), verdict(level, F.col("_f.risk_tolerance")).alias("verdict"))
     text = F.array_join(F.transform("_f.violations", lambda v: v["description"]), "; ")
     return said.select(
@@ -76,6 +76,8 @@ def assess(calls: DataFrame, secret: str | None = None, cwd: str = "/workspace")
         F.col("_f.is_write").alias("is_write"),
         F.col("_f.is_network").alias("is_network"),
         F.col("_f.targets").alias("targets"),
+        F.col("_f.coverage_gap").alias("coverage_gap"),
+        F.col("_f.risk_tolerance").alias("risk_tolerance"),
         "severity",
         "risk_score",
         "verdict",
