@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,16 @@ from ..functions.evaluate import loosens, requested
 from ..schema import MANDATE, default_mandate
 
 
+def step(now: dict[str, Any], request: str | None, own: str | None, secret: str | None, cwd: str) -> tuple[dict[str, Any], str]:
+    """A mandate after a request, or a reset if there is none, and the request's status. `own` is the secret that comes with the request."""
+    if request is None:
+        return default_mandate(cwd), "mandate_reset"
+    wanted, expected = requested(request), now.get("operator_secret") or secret
+    if loosens(now, wanted, cwd) and now.get("is_locked") and not (expected and own == expected):
+        return now, "ESCALATION_BLOCKED"
+    return now | wanted, "mandate_updated"
+
+
 def history(changes: DataFrame, secret: str | None = None, cwd: str = "/workspace") -> DataFrame:
     """(session_id, seq, status, mandate) per row of `changes` (session_id, seq, request JSON, secret; a null request resets).
 
@@ -29,14 +40,7 @@ def history(changes: DataFrame, secret: str | None = None, cwd: str = "/workspac
             for r in part.itertuples(index=False):
                 if r.session_id != last:
                     last, now = r.session_id, default_mandate(cwd)
-                if r.request is None:
-                    now, status = default_mandate(cwd), "mandate_reset"
-                else:
-                    wanted, expected = requested(r.request), now.get("operator_secret") or secret
-                    if loosens(now, wanted, cwd) and now.get("is_locked") and not (expected and r.secret == expected):
-                        status = "ESCALATION_BLOCKED"
-                    else:
-                        now, status = now | wanted, "mandate_updated"
+                now, status = step(now, r.request, r.secret, secret, cwd)
                 out.append((r.session_id, r.seq, status, json.dumps(now)))
             yield pd.DataFrame(out, columns=["session_id", "seq", "status", "mandate"])
 
@@ -50,11 +54,18 @@ def history(changes: DataFrame, secret: str | None = None, cwd: str = "/workspac
 
 
 def as_of(calls: DataFrame, versions: DataFrame) -> DataFrame:
-    """`calls` with the latest `mandate` of their session at or before their seq; null before the first."""
+    """`calls` with the latest `mandate` of their session at or before their seq; null before the first, and from a version on whose mandate is null. Columns of `calls` named mandate give way."""
     order = Window.partitionBy("session_id").orderBy("seq", F.col("_call").asc())
-    both = calls.withColumn("_call", F.lit(True)).unionByName(versions.select("session_id", "seq", "mandate").withColumn("_call", F.lit(False)), allowMissingColumns=True)
-    seen = both.withColumn("mandate", F.last("mandate", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.where("_call").drop("_call")
+    kept = calls.drop("mandate")
+    both = kept.withColumn("_call", F.lit(True)).unionByName(versions.select("session_id", "seq", F.struct("mandate").alias("_version")).withColumn("_call", F.lit(False)), allowMissingColumns=True)
+    seen = both.withColumn("_last", F.last("_version", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return seen.where("_call").select(*[F.col(f"`{c}`") for c in kept.columns], F.col("_last.mandate").alias("mandate"))
+
+
+def current(calls: DataFrame, mandates: DataFrame) -> DataFrame:
+    """`calls` with the mandate of their session, from a table with one row per session; null without one. Calls without session_id meet the row without one."""
+    own = mandates.select(F.col("session_id").alias("_session"), "mandate")
+    return calls.drop("mandate").join(own, F.col("session_id").eqNullSafe(F.col("_session")), "left").drop("_session")
 
 
 def redacted(mandates: DataFrame) -> DataFrame:

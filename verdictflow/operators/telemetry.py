@@ -57,3 +57,10 @@ def gate_batches(assessed: DataFrame) -> DataFrame:
     own = F.col("verdict") != "ALLOW"
     batch = Window.partitionBy("batch_id")
     return assessed.withColumn("forwarded", F.when(F.col("batch_id").isNull(), ~own).otherwise(~F.bool_or(own).over(batch))).withColumn("reply_order", F.when(F.col("batch_id").isNotNull(), F.row_number().over(batch.orderBy(F.col("verdict") == "ALLOW", "pos"))))
+
+
+def activity(assessed: DataFrame, ts: str = "ts") -> DataFrame:
+    """One row: first and last call, whole seconds between them, calls a second over these (null where there are none)."""
+    span = assessed.agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("total"))
+    seconds = F.floor(F.unix_micros(F.col("last").cast("timestamp")) / 1_000_000 - F.unix_micros(F.col("first").cast("timestamp")) / 1_000_000)
+    return span.select("first", "last", "total", seconds.cast("long").alias("uptime_s")).withColumn("calls_per_s", F.round(F.col("total") / F.nullif("uptime_s", F.lit(0)), 3))

@@ -18,10 +18,10 @@ _VIOLATION = pa.struct([(f, pa.string()) for f in _FIELDS])
 _FOUND = pa.struct([("violations", pa.list_(_VIOLATION)), ("is_write", pa.bool_()), ("is_network", pa.bool_()), ("targets", pa.list_(pa.string())), ("risk_tolerance", pa.string()), ("coverage_gap", pa.bool_()), ("failed", pa.bool_())])
 
 
-def _judged(tool, args, mandate, override, secret, cwd) -> dict:
+def _judged(tool, args, mandate, override, secret, cwd, strict_parity) -> dict:
     """A call that can't be evaluated is blocked."""
     try:
-        got = evaluate(tool, args, mandate, override, secret, cwd)
+        got = evaluate(tool, args, mandate, override, secret, cwd, strict_parity)
         return got | {"violations": [dict(zip(_FIELDS, v)) for v in got["violations"]], "failed": False}
     except Exception as error:  # fail closed
         wrong = ("S3", "EVALUATOR_INTERNAL_ERROR", "CRITICAL", "The call could not be evaluated", type(error).__name__, "Report the call.")
@@ -50,18 +50,18 @@ def verdict(level: Column, tolerance: Column) -> Column:
     return F.when(asks, "CONFIRM_REQUIRED").when(level.isin("CRITICAL", "HIGH"), "BLOCK").otherwise("ALLOW")
 
 
-def assess(calls: DataFrame, secret: str | None = None, cwd: str = "/workspace") -> DataFrame:
+def assess(calls: DataFrame, secret: str | None = None, cwd: str = "/workspace", strict_parity: bool = False) -> DataFrame:
     """`calls` (tool_name, raw_args; mandate struct and override JSON where present) with the columns of an assessment.
 
     One pass without a shuffle; only the four inputs travel to the workers. Nulls: no tool name is the empty name, no arguments none,
-    no mandate the default one.
+    no mandate the default one. `strict_parity` keeps the ways around the scans that are closed by default (README).
     """
 
     @F.arrow_udf(FOUND)
     def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns in batches:
             rows: Iterable = zip(*(c.to_pylist() for c in columns))
-            yield pa.array([_judged(t, a, json.loads(m) if m else None, o, secret, cwd) for t, a, m, o in rows], _FOUND)
+            yield pa.array([_judged(t, a, json.loads(m) if m else None, o, secret, cwd, strict_parity) for t, a, m, o in rows], _FOUND)
 
     own = F.to_json("mandate") if "mandate" in calls.columns else F.lit(None).cast("string")
     override = F.col("override").cast("string") if "override" in calls.columns else F.lit(None).cast("string")

@@ -19,19 +19,29 @@ def read_line_stream(spark: SparkSession, path: str, files_a_trigger: int = 100)
     return spark.readStream.option("maxFilesPerTrigger", files_a_trigger).text(path)
 
 
-def parse(lines: DataFrame, col: str = "value") -> DataFrame:
-    """`lines` with batch_id, pos, rpc_id, method, tool_name, raw_args, has_params: a row per message. Lines that aren't JSON objects or arrays give one row of nulls."""
+def parse(lines: DataFrame, col: str = "value", identity: list[str] | None = None) -> DataFrame:
+    """`lines` with batch_id, pos, rpc_id, method, tool_name, raw_args, has_params, is_json: a row per message. Lines that aren't JSON objects or arrays give one row of nulls.
+
+    A batch is a line, told apart by the columns `identity`; without them every line is one of its own, whatever its text.
+    """
     text = F.trim(F.col(col))
     is_batch = text.startswith("[")
     read = lambda kind: F.when(is_batch, F.from_json(text, f"array<{kind}>")).otherwise(F.array(F.from_json(text, kind)))
     items = F.arrays_zip(read(MESSAGE).alias("m"), read(MARK).alias("mark"))
-    told = lines.select("*", F.when(is_batch, F.sha2(text, 256)).alias("batch_id"), F.posexplode_outer(items).alias("pos", "_i")).withColumn("_m", F.col("_i.m"))
-    return told.select(*lines.columns, "batch_id", "pos", F.col("_m.id").alias("rpc_id"), F.col("_m.method").alias("method"), F.col("_m.params.name").alias("tool_name"), F.col("_m.params.arguments").alias("raw_args"), F.col("_i.mark.params").isNotNull().alias("has_params"))
+    batch = F.sha2(F.to_json(F.struct(*identity)), 256) if identity else F.expr("uuid()")
+    known = lines.withColumn("batch_id", F.when(is_batch, batch)).withColumn("is_json", F.try_parse_json(text).isNotNull())
+    told = known.select("*", F.posexplode_outer(items).alias("pos", "_i")).withColumn("_m", F.col("_i.m"))
+    return told.select(*lines.columns, "batch_id", "pos", F.col("_m.id").alias("rpc_id"), F.col("_m.method").alias("method"), F.col("_m.params.name").alias("tool_name"), F.col("_m.params.arguments").alias("raw_args"), F.col("_i.mark.params").isNotNull().alias("has_params"), "is_json")
+
+
+def unread(messages: DataFrame) -> DataFrame:
+    """The messages that are no JSON at all: nothing in them was judged."""
+    return messages.where(~F.col("is_json"))
 
 
 def tool_calls(messages: DataFrame) -> DataFrame:
     """The calls among `messages`: those with params. A missing name is the empty one."""
-    return messages.where((F.col("method") == "tools/call") & F.col("has_params")).withColumn("tool_name", F.coalesce("tool_name", F.lit(""))).drop("has_params")
+    return messages.where((F.col("method") == "tools/call") & F.col("has_params")).withColumn("tool_name", F.coalesce("tool_name", F.lit(""))).drop("has_params", "is_json")
 
 
 def read_mandates(spark: SparkSession, path: str) -> DataFrame:
