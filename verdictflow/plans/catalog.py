@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, mandates, telemetry, verdicts
+from ..operators import analysis, gateway, mandates, service, telemetry, verdicts
 from ..schema import MANDATE
 from ..sources import rpc
 from . import payloads
@@ -302,11 +302,68 @@ def rpc_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpc.tool_calls(rpc.parse(e.select(line.alias("value")))).select(F.col("rpc_id").cast("long").alias("event_id"), "tool_name", F.get_json_object("raw_args", "$.k").cast("long").alias("k"))
 
 
+#: Commands of messages, by turns, and whether they are blocked.
+MESSAGES = [("ls", False), ("rm -rf /", True), ("git log", False), ("curl http://x", True), ("cat notes", False)]
+
+
+def rpc_gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order each, a batch of its items as calls (single calls for a third of the orders): what goes on, and the ids that replies are for, in order."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 3 + F.col("l_linenumber")).alias("n"))
+    items = _by_turns(spark, items, "n", [m for m, _ in MESSAGES])
+    message = F.struct(F.col("l_linenumber").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit("bash").alias("name"), F.struct(F.col("plant").alias("command")).alias("arguments")).alias("params"))
+    lines = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    line = F.when(F.col("l_orderkey") % 3 == 0, F.to_json(F.get("m", 0))).otherwise(F.to_json("m"))
+    gated = gateway.gate(lines.select((F.col("l_orderkey") % 7).alias("conn_id"), F.col("l_orderkey").alias("seq"), line.alias("line")))
+    single = ~F.col("line").startswith("[")
+    ids = F.when(single, F.get_json_object("reply", "$.id")).otherwise(F.array_join(F.from_json("reply", "array<struct<id: string>>")["id"], ","))
+    return gated.select("conn_id", "seq", "forwarded", ids.alias("replied"))
+
+
+def list_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests and replies of as many connections as there are users: lists in replies are completed by two own entries, errors are replaced, the rest passes."""
+    e = table(spark, sf_dir, "events").select(F.coalesce("user_id", F.lit(-1)).alias("conn_id"), F.col("event_id").alias("seq"), "event_type")
+    method = F.when(F.col("event_type") == "click", "tools/list").when(F.col("event_type") == "error", "prompts/list").otherwise("ping")
+    asked = e.select("conn_id", "seq", F.to_json(F.struct(F.col("seq").alias("id"), method.alias("method"))).alias("line"))
+    reply = F.when(F.col("seq") % 2 == 0, F.to_json(F.struct(F.col("seq").alias("id"), F.struct(F.array(F.struct(F.lit("a").alias("name"))).alias("tools")).alias("result")))).otherwise(F.to_json(F.struct(F.col("seq").alias("id"), F.struct(F.lit(-1).alias("code")).alias("error"))))
+    done = gateway.complete_replies(asked, e.select("conn_id", "seq", reply.alias("line")), {"tools": [{"name": "x"}, {"name": "y"}], "prompts": [{"name": "p"}]})
+    names = lambda k: F.array_join(F.from_json(F.get_json_object("line", f"$.result.{k}"), "array<struct<name: string>>")["name"], ",")
+    return done.select("conn_id", "seq", names("tools").alias("tools"), names("prompts").alias("prompts"), F.get_json_object("line", "$.error.code").cast("long").alias("error"))
+
+
+#: Requests for a mandate and their status on their own.
+REQUESTS = [
+    ('{"taskDescription": "t", "allowWrite": true}', "ESCALATION_BLOCKED"),
+    ('{"taskDescription": "t", "allowWrite": true, "operatorSecret": "key"}', "mandate_updated"),
+    ('{"taskDescription": "t", "allowWrite": false}', "mandate_updated"),
+    ('{"taskDescription": "", "allowWrite": false}', "VALIDATION_ERROR"),
+    ('{"allowWrite": false}', "VALIDATION_ERROR"),
+    ('{"taskDescription": "t", "riskTolerance": "extreme"}', "VALIDATION_ERROR"),
+    ('{"taskDescription": "t", "isLocked": false, "allowLoopback": true}', "mandate_updated"),
+    ('{"taskDescription": "t", "allowedTools": [1]}', "VALIDATION_ERROR"),
+    ("[]", "VALIDATION_ERROR"),
+]
+
+
+def mandate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request of a session of its own for each event."""
+    e = _by_turns(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", [r for r, _ in REQUESTS], "request")
+    done = service.set_mandate(e.select(F.col("event_id").alias("session_id"), F.lit(1).alias("seq"), "request", F.lit(None).cast("string").alias("secret")), "key")
+    return done.select("session_id", "status", F.coalesce("mandate.allow_write", F.lit(False)).alias("allow_write"), F.coalesce("mandate.is_locked", F.lit(False)).alias("is_locked"))
+
+
+def tool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of a command for each order, and of a statement."""
+    o = _by_turns(spark, table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ["ls", "rm -rf /", "echo $(date)", ""], "command")
+    o = _by_turns(spark, o, "o_orderkey", ["SELECT 1", "DROP TABLE t", ""], "query")
+    shell = service.shell_status(o).select("o_orderkey", "query", F.col("status").alias("shell"))
+    return service.sql_status(shell).select("o_orderkey", "shell", F.col("status").alias("sql"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         *(verdict_score, events_assessed, verdict_by_tolerance, documents_injection, conversations_injection, route_flags, sql_statements, shell_commands, decoded_payloads),
         *(path_in_roots, url_hosts, override_stripping, telemetry_summary, violations_by_type, violations_by_signature, latency_percentiles, audit_log),
-        *(batch_gate, mandate_history, mandate_as_of, rpc_calls),
+        *(batch_gate, mandate_history, mandate_as_of, rpc_calls, rpc_gateway, list_replies, mandate_requests, tool_status),
     )
     return {q.__name__: q for q in all_}
 
@@ -358,4 +415,13 @@ def oracle_sql() -> dict[str, str]:
             'low' AS risk_tolerance FROM events WHERE event_type IN ('purchase', 'error')""",
         "mandate_as_of": """SELECT user_id AS session_id, event_id AS seq, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS mandate FROM events""",
         "rpc_calls": "SELECT event_id, event_type AS tool_name, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type <> 'click'",
+        "rpc_gateway": f"""WITH list(k, held) AS (VALUES {_values([(k, b) for k, (_, b) in enumerate(MESSAGES)])}), m AS (SELECT l_orderkey, l_linenumber AS id, held FROM lineitem JOIN list ON (l_orderkey * 3 + l_linenumber) % {len(MESSAGES)} = k),
+            f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY id) AS place FROM m), s AS (SELECT * FROM f WHERE l_orderkey % 3 <> 0 OR place = 1)
+            SELECT l_orderkey % 7 AS conn_id, l_orderkey AS seq, NOT bool_or(held) AS forwarded, CASE WHEN bool_or(held) THEN string_agg(CAST(id AS VARCHAR), ',' ORDER BY NOT held, id) END AS replied FROM s GROUP BY l_orderkey""",
+        "list_replies": """SELECT coalesce(user_id, -1) AS conn_id, event_id AS seq, CASE WHEN event_type = 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'a,x,y' ELSE 'x,y' END WHEN event_id % 2 = 0 THEN 'a' END AS tools,
+            CASE WHEN event_type = 'error' THEN 'p' END AS prompts, CASE WHEN event_type NOT IN ('click', 'error') AND event_id % 2 = 1 THEN -1 END AS error FROM events""",
+        "mandate_requests": f"""WITH list(k, status) AS (VALUES {_values([(k, t) for k, (_, t) in enumerate(REQUESTS)])}) SELECT event_id AS session_id, status, k = 1 AS allow_write,
+            status <> 'VALIDATION_ERROR' AS is_locked FROM events JOIN list ON event_id % {len(REQUESTS)} = k""",
+        "tool_status": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ALLOWED' WHEN 1 THEN 'BLOCKED' WHEN 2 THEN 'CONFIRMATION_REQUIRED' ELSE 'VALIDATION_ERROR' END AS shell,
+            CASE o_orderkey % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'BLOCK' ELSE 'VALIDATION_ERROR' END AS sql FROM orders""",
     }
