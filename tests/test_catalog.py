@@ -1,6 +1,7 @@
 """Every query of the catalog against its SQL."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -26,3 +27,16 @@ def test_sql_agrees(spark, name):
     want, got = tidy(con.execute(catalog.oracle_sql()[name]).df()), tidy(catalog.queries()[name](spark, SF).toPandas())
     assert len(got) and list(got.columns) == list(want.columns)
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_documents_one_by_one(spark):
+    """Each document judged alone has the outcome that it has in the table."""
+    from verdictflow.functions.evaluate import evaluate
+
+    got = {r.doc_id: r for r in catalog.documents_assessed(spark, SF).collect()}
+    texts = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    assert set(got) == set(texts.index)
+    for doc, text in texts.items():
+        found = evaluate("note", json.dumps({"prompt": text} if text is not None else {}))["violations"]
+        assert got[doc].kinds == ",".join(sorted(v[1] if v[0] == "S3" else f"{v[0]}:{v[1]}" for v in found)), doc
+    assert len({r.verdict for r in got.values()}) > 1

@@ -23,7 +23,9 @@ def _facts(judge: Callable[[str], tuple], **fields: str) -> Callable[[Column], C
     @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, t in fields.items()) + ">")
     def facts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([None if t is None else dict(zip(fields, judge(t))) for t in texts.to_pylist()], kind)
+            numbers: dict[str | None, int] = {}
+            order = pa.array([numbers.setdefault(t, len(numbers)) for t in texts.to_pylist()], pa.int32())
+            yield pa.array([None if t is None else dict(zip(fields, judge(t))) for t in numbers], kind).take(order)
 
     return facts
 

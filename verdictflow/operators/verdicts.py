@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,8 +60,11 @@ def assess(calls: DataFrame, secret: str | None = None, cwd: str = "/workspace",
     @F.arrow_udf(FOUND)
     def judge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for columns in batches:
-            rows: Iterable = zip(*(c.to_pylist() for c in columns))
-            yield pa.array([_judged(t, a, json.loads(m) if m else None, o, secret, cwd, strict_parity) for t, a, m, o in rows], _FOUND)
+            numbers: dict[tuple, int] = {}
+            order = pa.array([numbers.setdefault(row, len(numbers)) for row in zip(*(c.to_pylist() for c in columns))], pa.int32())
+            # equal calls of a batch are judged once
+            found = pa.array([_judged(t, a, json.loads(m) if m else None, o, secret, cwd, strict_parity) for t, a, m, o in numbers], _FOUND)
+            yield found.take(order)
 
     own = F.to_json("mandate") if "mandate" in calls.columns else F.lit(None).cast("string")
     override = F.col("override").cast("string") if "override" in calls.columns else F.lit(None).cast("string")

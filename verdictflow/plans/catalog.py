@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """Columns of a table whose rows are judged in Python: one that comes in fewer splits than there are cores is dealt out first; a large one is left as it lies."""
+    rows, cores = table(spark, sf_dir, name).select(*columns), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit("fetch").alias("tool_name"), F.to_json(F.struct("url")).alias("raw_args"))
 
@@ -51,7 +57,7 @@ def _kinds(text: str) -> list[str]:
 
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as calls, a case each in turns."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", F.pmod("event_id", F.lit(len(payloads.CASES))).alias("case_id"))
+    e = spread(spark, sf_dir, "events", ["event_id", "user_id"]).select(F.col("event_id").alias("seq"), "user_id", F.pmod("event_id", F.lit(len(payloads.CASES))).alias("case_id"))
     return verdicts.assess(e.join(_cases(spark), "case_id"))
 
 
@@ -80,17 +86,23 @@ def events_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict_by_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same calls under each tolerance, by user."""
     tolerance = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.pmod("user_id", F.lit(3)) + 1).cast("int"))
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.pmod("event_id", F.lit(len(payloads.CASES))).alias("case_id"))
+    e = spread(spark, sf_dir, "events", ["event_id", "user_id"]).select("event_id", "user_id", F.pmod("event_id", F.lit(len(payloads.CASES))).alias("case_id"))
     calls = e.join(_cases(spark), "case_id").withColumn("mandate", F.coalesce("mandate", F.from_json(F.lit("{}"), MANDATE)).withField("risk_tolerance", tolerance))
     return verdicts.assess(calls).select("event_id", "severity", "verdict")
 
 
 def documents_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts behind a planted phrase, or none: the directive that is found."""
-    planted = _by_turns(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", [p for p, _ in PHRASES])
+    planted = _by_turns(spark, spread(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", [p for p, _ in PHRASES])
     return planted.select("doc_id", analysis.directive(F.concat_ws(" . ", F.coalesce("text", F.lit("")), "plant")).alias("found"))
 
 
+def documents_assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as prompts of a tool without a route: every analyzer may look at them. No SQL: rules of several analyzers decide; tests hold it against one call at a time."""
+    calls = spread(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", F.lit("note").alias("tool_name"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("raw_args"))
+    return verdicts.assess(calls).select("doc_id", "severity", "risk_score", "verdict", _said().alias("kinds"))
+
+
 #: Phrases and what they are.
 PHRASES = [
     ("nothing to see", None),
@@ -143,7 +155,7 @@ STATEMENTS = [
 
 def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement for each order: kind, writing, condition, tables."""
-    o = _by_turns(spark, table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", [s[0] for s in STATEMENTS])
+    o = _by_turns(spark, spread(spark, sf_dir, "orders", ["o_orderkey"]), "o_orderkey", [s[0] for s in STATEMENTS])
     facts = o.select("o_orderkey", analysis.sql_facts(F.replace("plant", F.lit("%"), F.col("o_orderkey").cast("string"))).alias("f"))
     return facts.select("o_orderkey", "f.kind", "f.writes", "f.has_where", "f.always_true", F.array_join("f.tables", ",").alias("tables"))
 
@@ -165,7 +177,7 @@ COMMANDS = [
 
 def shell_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command for each order: its normal form and what it does."""
-    o = _by_turns(spark, table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", [c[0] for c in COMMANDS])
+    o = _by_turns(spark, spread(spark, sf_dir, "orders", ["o_orderkey"]), "o_orderkey", [c[0] for c in COMMANDS])
     facts = o.select("o_orderkey", analysis.shell_facts(F.replace("plant", F.lit("%"), F.col("o_orderkey").cast("string"))).alias("f"))
     return facts.select("o_orderkey", "f.normalized", "f.writes", "f.connects", "f.substitutes", F.array_join("f.paths", ",").alias("paths"))
 
@@ -174,7 +186,7 @@ def decoded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands that decode a payload of their own into a shell; the payload comes back in plain text, and is judged."""
     plain = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "rm -rf / # ").otherwise("ls /tmp/"), F.col("o_orderkey"))
     command = F.concat(F.lit("echo "), F.base64(plain.cast("binary")), F.lit(" | base64 -d | sh"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", command.alias("command"))
+    o = spread(spark, sf_dir, "orders", ["o_orderkey"]).select("o_orderkey", command.alias("command"))
     calls = o.select("*", F.lit("bash").alias("tool_name"), F.to_json(F.struct("command")).alias("raw_args"))
     got = verdicts.assess(calls).select("o_orderkey", analysis.shell_facts(F.col("command"))["payload"].alias("payload"), "verdict", F.exists("violations", lambda v: v["type"] == "DESTRUCTIVE_FS_COMMAND").alias("destructive"))
     return got
@@ -246,7 +258,7 @@ OVERRIDES = [
 
 def override_stripping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A write for each event, with an override; what loosens a locked mandate without its secret is refused and leaves the mandate as it was."""
-    e = _by_turns(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", [o[0] for o in OVERRIDES], "override")
+    e = _by_turns(spark, spread(spark, sf_dir, "events", ["event_id"]), "event_id", [o[0] for o in OVERRIDES], "override")
     calls = e.select("event_id", "override", F.lit("bash").alias("tool_name"), F.lit('{"command": "touch a"}').alias("raw_args"))
     got = verdicts.assess(calls, secret="key")
     has = lambda k: F.exists("violations", lambda v: v["type"] == k)
@@ -346,14 +358,14 @@ REQUESTS = [
 
 def mandate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request of a session of its own for each event."""
-    e = _by_turns(spark, table(spark, sf_dir, "events").select("event_id"), "event_id", [r for r, _ in REQUESTS], "request")
+    e = _by_turns(spark, spread(spark, sf_dir, "events", ["event_id"]), "event_id", [r for r, _ in REQUESTS], "request")
     done = service.set_mandate(e.select(F.col("event_id").alias("session_id"), F.lit(1).alias("seq"), "request", F.lit(None).cast("string").alias("secret")), "key")
     return done.select("session_id", "status", F.coalesce("mandate.allow_write", F.lit(False)).alias("allow_write"), F.coalesce("mandate.is_locked", F.lit(False)).alias("is_locked"))
 
 
 def tool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of a command for each order, and of a statement."""
-    o = _by_turns(spark, table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", ["ls", "rm -rf /", "echo $(date)", ""], "command")
+    o = _by_turns(spark, spread(spark, sf_dir, "orders", ["o_orderkey"]), "o_orderkey", ["ls", "rm -rf /", "echo $(date)", ""], "command")
     o = _by_turns(spark, o, "o_orderkey", ["SELECT 1", "DROP TABLE t", ""], "query")
     shell = service.shell_status(o).select("o_orderkey", "query", F.col("status").alias("shell"))
     return service.sql_status(shell).select("o_orderkey", "shell", F.col("status").alias("sql"))
@@ -361,7 +373,7 @@ def tool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
-        *(verdict_score, events_assessed, verdict_by_tolerance, documents_injection, conversations_injection, route_flags, sql_statements, shell_commands, decoded_payloads),
+        *(verdict_score, events_assessed, verdict_by_tolerance, documents_injection, documents_assessed, conversations_injection, route_flags, sql_statements, shell_commands, decoded_payloads),
         *(path_in_roots, url_hosts, override_stripping, telemetry_summary, violations_by_type, violations_by_signature, latency_percentiles, audit_log),
         *(batch_gate, mandate_history, mandate_as_of, rpc_calls, rpc_gateway, list_replies, mandate_requests, tool_status),
     )
