@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache
+from .common import TwoGenerationCache, alone
 from .prefix_counts import PATTERN, compiled
 
 NONE = np.int64(1 << 40)  # the rank of a pair that isn't merged
@@ -248,6 +248,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, id_col: str =
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("byte_bpe", _CODERS.clear)
         own = coder(vocabulary, pattern)
         for b in batches:
             for at in range(0, b.num_rows, DOCS):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, by_bytes, connected_components, cut
+from .common import TwoGenerationCache, alone, by_bytes, connected_components, cut
 
 T = 64  # coordinates of a signature
 EXTRA = 0.25
@@ -110,6 +110,7 @@ def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, k1, k2, n, sig): a 128-bit key of each document's set, its size and signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("chosen_path", _WORDS.forget)
         gc.freeze()
         gc.set_threshold(100_000, 50, 1000)
         for b in batches:
@@ -189,6 +190,7 @@ def _likely(recall: float, threshold: float):
     least = least_agreement(recall, threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("chosen_path", _WORDS.forget)
         for b in batches:
             items, out = b.column(3), ([], [], [], [], [])
             for k in range(b.num_rows):

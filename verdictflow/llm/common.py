@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ class TwoGenerationCache(dict):
         self.put(key, value)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
@@ -39,6 +46,22 @@ class TwoGenerationCache(dict):
         self[key] = value
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, clear: Callable[[], None]) -> None:
+    """Called where an operator's work in a worker begins: what other operators hold in this worker is let go, as workers outlive stages. `clear` lets go of the operator's own."""
+    others = [c for n, c in _HELD.items() if n != name]
+    _HELD.clear()
+    _HELD[name] = clear
+    for c in others:
+        c()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # hand the memory back, where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` whose texts in `column` come to about `most` bytes, or of one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()

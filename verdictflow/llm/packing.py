@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, by_bytes
+from .common import TwoGenerationCache, alone, by_bytes
 from .prefix_counts import compiled
 
 LONGEST_CACHED = 64
@@ -39,7 +39,7 @@ class WordTokenizer:
     #: The vocabulary's published split pattern; a fixed value.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, end_id: int, cache: int = 450_000):
+    def __init__(self, path: str, end_id: int, cache: int = 520_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -232,6 +232,7 @@ def pack(df: DataFrame, vocabulary: str, tiers: Iterable[int] = (256, 512, 1024,
     tiers = tuple(tiers)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("packing", _TOKENIZERS.clear)
         coder, packer = word_tokenizer(vocabulary, end_id), Packer(tiers, group_tokens)
         first, n = TaskContext.get().partitionId() << 36, 0
         kind = None

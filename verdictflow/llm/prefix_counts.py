@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache
+from .common import TwoGenerationCache, alone
 
 #: White space as the tokenizer library has it (Python's own class also holds the separators 1C to 1F).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -239,6 +239,7 @@ def prefix_token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("prefix_counts", _COUNTERS.clear)
         own = counter(vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 256):

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache
+from .common import TwoGenerationCache, alone, by_bytes
 
 BUCKETS = 1 << 16  # of hashed features
 #: Bounds of the labelled sample: this many toxic and clean documents at most, those of least hash.
@@ -303,7 +303,7 @@ _TAGGERS: dict[str, Tagger] = {}
 def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score", spans_col: str = "offending") -> DataFrame:
     """(id, score, offending array<struct<start, end, probability>>) for each row; with `keep`, behind all columns of `df`.
 
-    Null and empty texts are scored as texts without tokens. Offsets are code points, ends exclusive. Every text is scored whole, and memory holds 2048 texts at a time.
+    Null and empty texts are scored as texts without tokens. Offsets are code points, ends exclusive. Every text is scored whole, and memory holds the texts of about 4 MB at a time, or one longer one.
     The results are named `score_col` and `spans_col`; with `keep`, columns of `df` that have these names give way to them.
     """
     names = [c for c in df.columns if c not in (score_col, spans_col)] if keep else [id_col]
@@ -315,6 +315,7 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
     key = str(id(sent)) + str(model.calibration)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity", _TAGGERS.clear)
         if key not in _TAGGERS:
             _TAGGERS.clear()
             _TAGGERS[key] = Tagger(sent.value)
@@ -322,8 +323,7 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
             gc.set_threshold(100_000, 50, 1000)
         tagger = _TAGGERS[key]
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for part in by_bytes(b, at_text, 4 << 20):
                 texts = [t or "" for t in part.column(at_text).to_pylist()]
                 found, spans = tagger(texts), []
                 for t, m in zip(texts, found):
