@@ -11,7 +11,7 @@ from __future__ import annotations
 import gc
 import zlib
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 class Tagger:
     """A model with the emissions of tokens that it has met."""
 
-    def __init__(self, model: Crf, cache: int = 400_000):
+    def __init__(self, model: Crf, cache: int = 250_000):
         self.model = model
         w = model.weights.tolist()
         self.cache = TwoGenerationCache(lambda t: sum([w[f] for f in features(t)]), cache)
@@ -307,14 +307,12 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
     The results are named `score_col` and `spans_col`; with `keep`, columns of `df` that have these names give way to them.
     """
     names = [c for c in df.columns if c not in (score_col, spans_col)] if keep else [id_col]
-    extra = text_col not in names
-    plain = [f"c{k}" for k in range(len(names))]  # a batch function takes no names with dots
-    source = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain)], *[F.col(text_col).alias("text")] * extra)
-    at_text = len(names) if extra else names.index(text_col)
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
     key = str(id(sent)) + str(model.calibration)
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
+    result = pa.struct([("score", pa.float64()), ("offending", spans_type)])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         alone("toxicity", _TAGGERS.clear)
         if key not in _TAGGERS:
             _TAGGERS.clear()
@@ -322,14 +320,18 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
             gc.freeze()
             gc.set_threshold(100_000, 50, 1000)
         tagger = _TAGGERS[key]
-        for b in batches:
-            for part in by_bytes(b, at_text, 4 << 20):
-                texts = [t or "" for t in part.column(at_text).to_pylist()]
+        for column in batches:
+            done = []
+            for part in by_bytes(pa.RecordBatch.from_arrays([column], names=["text"]), 0, 4 << 20):
+                texts = [t or "" for t in part.column(0).to_pylist()]
                 found, spans = tagger(texts), []
                 for t, m in zip(texts, found):
                     hits = set(np.flatnonzero(m >= tagger.model.threshold).tolist())
                     spans.append([{"start": w.start(), "end": w.end(), "probability": float(m[k])} for k, w in enumerate(_WORD.finditer(t)) if k in hits] if hits else [])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])))], names=[*plain, "score", "offending"])
+                done.append(pa.StructArray.from_arrays([pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, spans_type)], fields=list(result)))
+            yield pa.concat_arrays(done) if done else pa.array([], result)
 
-    schema = ", ".join([*[f"{p} {df.schema[c].dataType.simpleString()}" for c, p in zip(names, plain)], "score double, offending array<struct<start: long, end: long, probability: double>>"])
-    return source.mapInArrow(run, schema).toDF(*names, score_col, spans_col)
+    # only the texts travel to the workers, and nothing of them comes back
+    judged = F.arrow_udf(judge, "struct<score: double, offending: array<struct<start: long, end: long, probability: double>>>").asNondeterministic()
+    scored = df.select(*[F.col(f"`{c}`") for c in names], judged(F.col(text_col)).alias("_judged"))
+    return scored.select(*[F.col(f"`{c}`") for c in names], F.col("_judged.score").alias(score_col), F.col("_judged.offending").alias(spans_col))
