@@ -72,7 +72,7 @@ def runs_for(recall: float, threshold: float) -> int:
     return high
 
 
-_WORDS = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+_WORDS = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
