@@ -57,9 +57,14 @@ def alone(name: str, clear: Callable[[], None]) -> None:
     for c in others:
         c()
     if others:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # hand the memory back, where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
+
+
+def release() -> None:
+    """Hand free memory back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

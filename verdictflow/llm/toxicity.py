@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, alone, by_bytes
+from .common import TwoGenerationCache, alone, by_bytes, release
 
 BUCKETS = 1 << 16  # of hashed features
 #: Bounds of the labelled sample: this many toxic and clean documents at most, those of least hash.
@@ -287,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 class Tagger:
     """A model with the emissions of tokens that it has met."""
 
-    def __init__(self, model: Crf, cache: int = 250_000):
+    def __init__(self, model: Crf, cache: int = 80_000):
         self.model = model
         w = model.weights.tolist()
         self.cache = TwoGenerationCache(lambda t: sum([w[f] for f in features(t)]), cache)
@@ -330,6 +330,8 @@ def score(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "te
                     spans.append([{"start": w.start(), "end": w.end(), "probability": float(m[k])} for k, w in enumerate(_WORD.finditer(t)) if k in hits] if hits else [])
                 done.append(pa.StructArray.from_arrays([pa.array([tagger.model.score(m) for m in found], pa.float64()), pa.array(spans, spans_type)], fields=list(result)))
             yield pa.concat_arrays(done) if done else pa.array([], result)
+        tagger.cache.forget()  # the worker outlives the task, and other stages need the memory
+        release()
 
     # only the texts travel to the workers, and nothing of them comes back
     judged = F.arrow_udf(judge, "struct<score: double, offending: array<struct<start: long, end: long, probability: double>>>").asNondeterministic()
