@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, alone, by_bytes, connected_components, cut
+from .common import TwoGenerationCache, alone, by_bytes, connected_components, cut, release
 
 T = 64  # coordinates of a signature
 EXTRA = 0.25
@@ -121,6 +121,8 @@ def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 k1, k2 = _keys([s.tobytes() for s in own])
                 flat = pa.array(np.concatenate(sig) if sig else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(range(0, T * len(own) + 1, T), pa.int32()), flat)], names=["doc_id", "k1", "k2", "n", "sig"])
+        _WORDS.forget()  # the worker outlives the task
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n int, sig array<int>")
@@ -210,6 +212,7 @@ def _likely(recall: float, threshold: float):
                     for o, v in zip(out, (bucket, lo, hi, int(rep[i]), int(own[i]))):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["bucket", "lo", "hi", "rep", "own"])
+        release()
 
     return run
 
@@ -263,6 +266,7 @@ def _verified(threshold: float):
                 for o, v in zip(out, (rep[hit], links[hit], rep[root[hit]])):
                     o += v.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["rep", "links", "root"])
+        release()
 
     return run
 
@@ -290,6 +294,8 @@ def jaccard_join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
                 found = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
                 k1, k2 = _keys(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(found, pa.binary())], names=["low", "k1", "k2", "set"])
+        _WORDS.forget()
+        release()
 
     used = detail.join(likely.select("rep").distinct(), "rep", "left_semi").select("rep", "low", "k1", "k2", "mult", "buckets")
     texts = df.select(F.col(id_col).cast("long").alias("low"), F.col(text_col).alias("text")).join(used.select("low").distinct(), "low", "left_semi").dropDuplicates(["low", "text"])
