@@ -75,6 +75,10 @@ def runs_for(recall: float, threshold: float) -> int:
 _WORDS = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 100_000)
 
 
+def forget_words() -> None:
+    _WORDS.forget()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -110,7 +114,7 @@ def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, k1, k2, n, sig): a 128-bit key of each document's set, its size and signature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("chosen_path", _WORDS.forget)
+        alone("chosen_path", forget_words)
         gc.freeze()
         gc.set_threshold(100_000, 50, 1000)
         for b in batches:
@@ -121,7 +125,7 @@ def _sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 k1, k2 = _keys([s.tobytes() for s in own])
                 flat = pa.array(np.concatenate(sig) if sig else np.empty(0, np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(range(0, T * len(own) + 1, T), pa.int32()), flat)], names=["doc_id", "k1", "k2", "n", "sig"])
-        _WORDS.forget()  # the worker outlives the task
+        forget_words()  # the worker outlives the task
         release()
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -192,7 +196,7 @@ def _likely(recall: float, threshold: float):
     least = least_agreement(recall, threshold)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("chosen_path", _WORDS.forget)
+        alone("chosen_path", forget_words)
         for b in batches:
             items, out = b.column(3), ([], [], [], [], [])
             for k in range(b.num_rows):
@@ -244,6 +248,7 @@ def _verified(threshold: float):
     """Per two blocks: (rep, links, root) of each set, its verified links here and the root of its tree here."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("chosen_path", forget_words)
         for b in batches:
             out: tuple[list, list, list] = ([], [], [])
             for k in range(b.num_rows):
@@ -289,12 +294,13 @@ def jaccard_join(df: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     likely = cut(_blocks(live, detail.select("rep", "n", "sig", "buckets"), ["n", "sig", "buckets"]).mapInArrow(_likely(recall, threshold), "bucket long, lo int, hi int, rep long, own int"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("chosen_path", forget_words)
         for b in batches:
             for part in by_bytes(b, 1, 1 << 20):
                 found = [shingles(t or "", n).tobytes() for t in part.column(1).to_pylist()]
                 k1, k2 = _keys(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), k1, k2, pa.array(found, pa.binary())], names=["low", "k1", "k2", "set"])
-        _WORDS.forget()
+        forget_words()
         release()
 
     used = detail.join(likely.select("rep").distinct(), "rep", "left_semi").select("rep", "low", "k1", "k2", "mult", "buckets")

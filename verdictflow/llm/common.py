@@ -50,7 +50,10 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def alone(name: str, clear: Callable[[], None]) -> None:
-    """Called where an operator's work in a worker begins: what other operators hold in this worker is let go, as workers outlive stages. `clear` lets go of the operator's own."""
+    """Called where an operator's work in a worker begins: what other operators hold in this worker is let go, as workers outlive stages. `clear` lets go of the operator's own.
+
+    It is a function of a module: what a function within a function names itself, a dict or a method of one, reaches the worker as a copy, and clearing that clears nothing.
+    """
     others = [c for n, c in _HELD.items() if n != name]
     _HELD.clear()
     _HELD[name] = clear
@@ -61,8 +64,9 @@ def alone(name: str, clear: Callable[[], None]) -> None:
 
 
 def release() -> None:
-    """Hand free memory back to the system, where the C library can."""
+    """Hand free memory back to the system: Arrow's, which keeps what it has freed in a pool of its own, and the C library's, where it can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -23,10 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerationCache, alone, by_bytes
+from .common import TwoGenerationCache, alone, by_bytes, release
 from .prefix_counts import compiled
 
 LONGEST_CACHED = 64
+STEP = 1 << 17  # words whose ids are dealt out at once
 
 
 class WordTokenizer:
@@ -112,20 +113,31 @@ class WordTokenizer:
         """
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        own = [*self.parts(coded.dictionary.to_pylist()), self.end]
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        del lists
+        own = [*self.parts(coded.dictionary.to_pylist()), self.end]
         which = np.insert(coded.indices.to_numpy(), ends, len(own) - 1)
+        del coded
         size = np.array([len(x) // 4 for x in own])
         flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        del own
         many = size[which]
         upto = np.cumsum(many)
-        ids = flat[np.repeat(starts[which] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        ids = np.empty(upto[-1] if len(upto) else 0, "<u4")
+        for at in range(0, len(which), STEP):
+            n, to = many[at : at + STEP], upto[at : at + STEP]
+            first = to[0] - n[0]
+            ids[first : to[-1]] = flat[np.repeat(starts[which[at : at + STEP]] - to + n, n) + np.arange(first, to[-1])]
         return ids.tobytes(), [0, *(4 * upto[ends + np.arange(len(ends))]).tolist()]
 
 
 _TOKENIZERS: dict[tuple[str, int], WordTokenizer] = {}
 
 
+def forget_tokenizers() -> None:
+    _TOKENIZERS.clear()
+
+
 def word_tokenizer(path: str, end_id: int) -> WordTokenizer:
     if (path, end_id) not in _TOKENIZERS:
         _TOKENIZERS[path, end_id] = WordTokenizer(path, end_id)
@@ -232,7 +244,7 @@ def pack(df: DataFrame, vocabulary: str, tiers: Iterable[int] = (256, 512, 1024,
     tiers = tuple(tiers)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone("packing", _TOKENIZERS.clear)
+        alone("packing", forget_tokenizers)
         coder, packer = word_tokenizer(vocabulary, end_id), Packer(tiers, group_tokens)
         first, n = TaskContext.get().partitionId() << 36, 0
         kind = None
@@ -251,7 +263,7 @@ def pack(df: DataFrame, vocabulary: str, tiers: Iterable[int] = (256, 512, 1024,
 
         for b in batches:
             kind = b.schema.field(0).type
-            for part in by_bytes(b, 1):
+            for part in by_bytes(b, 1, 4 << 20):
                 raw, cuts = coder.encode(part.column(1))
                 done: list[tuple] = []
                 for doc, i, j in zip(part.column(0).to_pylist(), cuts, cuts[1:]):
@@ -260,6 +272,7 @@ def pack(df: DataFrame, vocabulary: str, tiers: Iterable[int] = (256, 512, 1024,
                     yield rows(done)
         if kind is not None and (done := packer.finish()):
             yield rows(done)
+        release()  # the worker outlives the task
 
     own = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {own}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier long, step_group long")
